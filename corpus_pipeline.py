@@ -1,15 +1,67 @@
-"""The corpus pipeline: toxicity filter, exact dedup, SimHash near-dedup, decontamination, packing."""
+"""The corpus pipeline: toxicity filter, exact dedup, SimHash near-dedup, decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Stages name the document's id and text only, so documents may have further columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from numbra.llm.common import shared_path
+from numbra.llm.decontaminate import mark
+from numbra.llm.exact_dedup import keep_distinct
+from numbra.llm.packing import pack_documents
+from numbra.llm.queries import tokenizer_path
+from numbra.llm.simhash import keep_representatives
+from numbra.llm.toxicity import fit_toxicity, score_rows
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below 0.5, by a model of the labelled ones among them."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_rows(docs, model).filter("_score < 0.5").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the largest id."""
+    return keep_distinct(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints link, directly or over others, the one with the smallest id."""
+    return keep_representatives(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    marked = mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marked.filter(F.size("_items") == 0).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Fitted scores, fingerprints and packing are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = shared_path(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

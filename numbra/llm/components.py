@@ -40,7 +40,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     A hub's links meet in map-side minima and in a sort-merge join that Spark splits when it is skewed.
     Null nodes and links of a node to itself are ignored; an empty table gives an empty result.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

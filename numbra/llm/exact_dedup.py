@@ -129,12 +129,9 @@ class PatriciaTrie:
     def _spill(self) -> None:
         """Moves the heaviest subtree below the topmost branching node to a file."""
         top = self.root
-        while True:
-            kids = [x for x in (top.kids or {}).values() if x.file is None]
-            if len(kids) != 1 or top.rows or not kids[0].kids:
-                break
+        while len(kids := [x for x in (top.kids or {}).values() if x.file is None]) == 1:
             top = kids[0]
-        if not kids:
+        if not kids:  # one string is all there is to hold
             return
         node = max(kids, key=self._weight)
         freed = self._weight(node)
@@ -187,6 +184,18 @@ def _settle(with_text: bool, keep: str, budget: int) -> Callable:
     return run
 
 
+def _owners(rows: DataFrame, keep: str, trie_bytes: int) -> DataFrame:
+    """(_sha, _bytes, keep_id, group_size) of the distinct texts of rows (_owner, _text, _sha)."""
+    shape = "_sha binary, _bytes long, _owner long, _rows long"
+    return (
+        rows.select("_owner", "_text", "_sha", F.lit(1).cast("long").alias("_rows"))
+        .mapInArrow(_settle(True, keep, trie_bytes), f"{shape}, _text binary")
+        .repartition("_bytes", "_sha")
+        .mapInArrow(_settle(False, keep, trie_bytes), shape)
+        .select("_sha", "_bytes", F.col("_owner").alias("keep_id"), F.col("_rows").alias("group_size"))
+    )
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -207,14 +216,7 @@ def exact_dedup(
     text = normalise(text) if normalise else text
     rows = docs.select(F.col(id_col).cast("long").alias("_owner"), text.cast("binary").alias("_text"))
     rows = rows.select("_owner", "_text", F.unhex(F.sha2("_text", 256)).alias("_sha"))
-    shape = "_sha binary, _bytes long, _owner long, _rows long"
-    owners = (
-        rows.withColumn("_rows", F.lit(1).cast("long"))
-        .mapInArrow(_settle(True, keep, trie_bytes), f"{shape}, _text binary")
-        .repartition("_bytes", "_sha")
-        .mapInArrow(_settle(False, keep, trie_bytes), shape)
-        .select("_sha", "_bytes", F.col("_owner").alias("keep_id"), F.col("_rows").alias("group_size"))
-    )
+    owners = _owners(rows, keep, trie_bytes)
     members = rows.select(F.col("_owner").alias(id_col), "_sha", F.octet_length("_text").cast("long").alias("_bytes"))
     return members.join(owners, ["_sha", "_bytes"]).select(
         id_col,
@@ -223,3 +225,18 @@ def exact_dedup(
         F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
     )
+
+
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """The rows that exact_dedup() keeps, with all their columns; one of those that repeat id and text.
+
+    The row that stays is told by id and content hash, so no text is shuffled a second time for its group;
+    names that begin with `_keep_` must not be columns of docs.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    number = F.col(id_col).cast("long")
+    rows = docs.select(number.alias("_owner"), text.alias("_text")).withColumn("_sha", F.unhex(F.sha2("_text", 256)))
+    kept = _owners(rows, keep, trie_bytes).select(F.col("_sha").alias("_keep_key"), F.col("keep_id").alias("_keep_id"))
+    named = docs.withColumn("_keep_sha", F.unhex(F.sha2(text, 256)))
+    joined = named.join(kept, (named["_keep_sha"] == kept["_keep_key"]) & number.eqNullSafe(F.col("_keep_id")))
+    return joined.dropDuplicates(["_keep_sha"]).select(*docs.columns)

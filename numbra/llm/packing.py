@@ -27,6 +27,8 @@ CACHE_WORDS = 800_000
 
 #: The vocabulary's own pre-tokeniser, as what stands apart from the letters around it.
 _APART = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+)"
+#: White space below U+0130 that is not ASCII.
+_BLANK = r"[\x{85}\x{a0}]"
 
 
 class Encoder:
@@ -85,7 +87,8 @@ class Encoder:
     def _by_words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Distinct stretches between white space are cut into words, distinct words into ids."""
         cut = Words(column)
-        inner = Words(pc.replace_substring_regex(pc.utf8_lower(cut.values), _APART, r" \1 "))
+        plain = pc.utf8_lower(pc.replace_substring_regex(cut.values, _BLANK, " "))
+        inner = Words(pc.replace_substring_regex(plain, _APART, r" \1 "))
         word = self._of(inner.values.to_pylist())[inner.codes] if len(inner.codes) else np.empty(0, np.int64)
         lengths = self.starts[word + 1] - self.starts[word]
         ids = self.table[ranges(self.starts[word], lengths)]

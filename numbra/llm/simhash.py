@@ -263,3 +263,16 @@ def simhash_components(
     return prints.join(named, "_fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, seed: int = 42
+) -> DataFrame:
+    """The rows of the smallest id of each component of simhash_components(), with all their columns.
+
+    Rows that repeat the smallest id stay together, and so do rows of a component without any id.
+    No column of docs may be called _keep_id.
+    """
+    found = simhash_components(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, words, limit, seed)
+    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep_id")).distinct()
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_keep_id"]), "left_semi")
