@@ -9,7 +9,7 @@ from numbra.operators import iterative as I
 from numbra.operators import linalg as L
 from numbra.operators import relational as R
 from numbra.operators import triage as TR
-from numbra.plans import strategy
+from numbra.plans import metrics, strategy
 from numbra.sources import datagen, tables
 from numbra.streaming import calc as SC
 
@@ -170,3 +170,9 @@ def test_streams(spark, tmp_path):
     q = text.writeStream.format("memory").queryName("numbra_text").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.id for r in spark.table("numbra_text").collect()) == [12, 21]
+
+
+def test_observed_counts_rows_as_they_pass(spark):
+    frame, watch = metrics.observed(spark.range(100).filter("id % 3 = 0"), "thirds", top=F.max("id"))
+    tables.blackhole(frame)
+    assert watch.get == {"rows": 34, "top": 99} and set(metrics.environment()) >= {"spark", "python"}
