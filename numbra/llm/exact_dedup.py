@@ -230,8 +230,8 @@ def exact_dedup(
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """The rows that exact_dedup() keeps, with all their columns; one of those that repeat id and text.
 
-    The row that stays is told by id and content hash, so no text is shuffled a second time for its group;
-    names that begin with `_keep_` must not be columns of docs.
+    The row that stays is told by id and content hash, so the join brings at most one row of each group, hot or
+    not, to a kept one. Names that begin with `_keep_` must not be columns of docs.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     number = F.col(id_col).cast("long")

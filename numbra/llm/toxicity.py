@@ -71,7 +71,7 @@ def _counter(wanted) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", 16 << 20):
+            for part in slices(batch, "_text", 8 << 20):
                 words = Words(part.column("_text"))
                 n = len(words.values)
                 if not n:
@@ -151,7 +151,7 @@ def passages(model: ToxicityModel, words: Words) -> list[tuple[int, list[tuple[i
 def _best(model: ToxicityModel) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", 16 << 20):
+            for part in slices(batch, "_text", 8 << 20):
                 found = passages(model, Words(part.column("_text")))
                 best = [max((s for _, _, s in x), default=0.0) for _, x in found]
                 columns = [part.column("_toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array(best, pa.float64())]
@@ -273,7 +273,7 @@ def _score(model, id_col: str) -> Callable:
         m = model.value
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
         for batch in batches:
-            for part in slices(batch, "_text", 16 << 20):
+            for part in slices(batch, "_text", 8 << 20):
                 score, spans = [], []
                 for n, found in passages(m, Words(part.column("_text"))):
                     score.append(m.probability(m.surprise(max((s for _, _, s in found), default=0.0), n)))
