@@ -20,7 +20,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-#: Labelled samples: generated strings of each of three alphabets, and documents whose words are ordinary.
+#: Labelled samples: generated strings of each of three alphabets, and about how many documents whose words are ordinary.
 RANDOM_SAMPLES, ORDINARY_DOCUMENTS = 2000, 1000
 #: Least log-likelihood ratio of a secret (natural logarithm), in all and for each character.
 LEAST_RATIO, LEAST_RATE = 12.0, 0.35
@@ -36,8 +36,14 @@ def random_samples(spark: SparkSession, n: int = RANDOM_SAMPLES) -> DataFrame:
 
 
 def ordinary_samples(docs: DataFrame, text_col: str, n: int = ORDINARY_DOCUMENTS) -> DataFrame:
-    """Column `sample`: words of n documents (those of least text hash), plain and as snake and camel case with a number."""
-    chosen = docs.select(F.col(text_col).cast("string").alias("t")).filter("t is not null").orderBy(F.xxhash64("t")).limit(n)
+    """Column `sample`: words of about n documents, plain and as snake and camel case with a number.
+
+    Documents are chosen by a share of their texts' hashes, so nothing has to meet in one task; equal texts
+    are chosen together and count once.
+    """
+    texts = docs.select(F.col(text_col).cast("string").alias("t")).filter("t is not null")
+    share = int((1 << 40) * min(1.0, n / max(1, texts.count())))
+    chosen = texts.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < share).distinct()
     words = F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{3,}+(?![A-Za-z0-9])"), F.lit(0))
     pairs = F.zip_with(
         words,
