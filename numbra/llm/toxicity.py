@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numbra.llm.common import Words, slices
+from numbra.llm.common import Words, cut, slices
 
 #: The classifier is fitted on about this many labelled rows at most (all of them, if there are fewer).
 MOST_LABELLED = 200_000
@@ -160,23 +160,20 @@ def _best(model: ToxicityModel) -> Callable:
     return run
 
 
-def _token_scores(rows: list, sums: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _token_scores(table: dict[str, np.ndarray], sums: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features, log-odds and counts of toxic and clean tokens of the telling ones, in order of the features."""
-    at = {r["feature"]: i for i, r in enumerate(rows)}
+    order = np.argsort(table["feature"])
+    t = {k: x[order] for k, x in table.items()}
     share = sums["t"] / (sums["t"] + sums["c"])
-    keep, score = [], np.zeros(len(rows))
-    for i in sorted(range(len(rows)), key=lambda i: rows[i]["kind"]):
-        r = rows[i]
-        up = rows[at[r["above"]]] if r["above"] in at else None
-        mean = (up["toxic"] + share) / (up["toxic"] + up["clean"] + 1) if up else share
-        score[i] = math.log((r["toxic"] + PRIOR * mean) / sums["t"]) - math.log((r["clean"] + PRIOR * (1 - mean)) / sums["c"])
-        cells = [r["toxic_docs"] + 0.5, sums["td"] - r["toxic_docs"] + 0.5, r["clean_docs"] + 0.5, sums["cd"] - r["clean_docs"] + 0.5]
-        z = (math.log(cells[0] / cells[1]) - math.log(cells[2] / cells[3])) / math.sqrt(sum(1 / x for x in cells))
-        if abs(z) >= LEAST_Z and z * score[i] > 0:
-            keep.append(i)
-    keep.sort(key=lambda i: np.int64(rows[i]["feature"]).view(np.uint64))
-    pick = lambda name, kind: np.array([rows[i][name] for i in keep], kind)
-    return pick("feature", np.int64).view(np.uint64), score[keep], pick("toxic", float), pick("clean", float)
+    # the prior leans on the next shorter feature, if that was counted
+    up = np.minimum(np.searchsorted(t["feature"], t["above"]), len(order) - 1)
+    known = t["feature"][up] == t["above"]
+    mean = np.where(known, (t["toxic"][up] + share) / (t["toxic"][up] + t["clean"][up] + 1), share)
+    score = np.log((t["toxic"] + PRIOR * mean) / sums["t"]) - np.log((t["clean"] + PRIOR * (1 - mean)) / sums["c"])
+    cells = [t["toxic_docs"] + 0.5, sums["td"] - t["toxic_docs"] + 0.5, t["clean_docs"] + 0.5, sums["cd"] - t["clean_docs"] + 0.5]
+    z = (np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])) / np.sqrt(sum(1 / x for x in cells))
+    keep = (np.abs(z) >= LEAST_Z) & (z * score > 0)
+    return t["feature"][keep], score[keep], t["toxic"][keep].astype(float), t["clean"][keep].astype(float)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -229,16 +226,28 @@ def fit_toxicity(
     if len(totals) < 2:
         return nothing
     toxic = counted(rows.filter("_toxic = 1"), None).filter((F.col("tokens") >= LEAST_TOKENS) & (F.col("docs") >= LEAST_DOCUMENTS))
-    top = toxic.orderBy(F.desc("docs"), F.desc("tokens"), "feature").limit(most_features).collect()
-    if not top:
+    # the features of most documents: whole groups of equal counts while they fit into most_features
+    toxic = cut(toxic)
+    bins = {r["d"]: r["count"] for r in toxic.groupBy(F.least("docs", F.lit(1000)).alias("d")).count().collect()}
+    least, total = 1001, 0
+    for d in sorted(bins, reverse=True):
+        if (total := total + bins[d]) > most_features:
+            break
+        least = d
+    # five numbers for each of most_features rows at most, as arrays
+    top = toxic.filter(F.least("docs", F.lit(1000)) >= least).select("feature", "above", "tokens", "docs").toArrow()
+    if not top.num_rows:
         return nothing
-    wanted = spark.sparkContext.broadcast(np.sort(np.array([r["feature"] for r in top], np.int64).view(np.uint64)))
-    clean = {r["feature"]: r for r in counted(rows.filter("_toxic <> 1"), wanted).collect()}  # most_features rows at most
-    table = [
-        {"feature": r["feature"], "kind": r["kind"], "above": r["above"], "toxic": r["tokens"], "toxic_docs": r["docs"],
-         "clean": c["tokens"] if (c := clean.get(r["feature"])) else 0, "clean_docs": c["docs"] if c else 0}
-        for r in top
-    ]
+    of = lambda found, name: found.column(name).to_numpy()
+    feature = of(top, "feature").view(np.uint64)
+    wanted = spark.sparkContext.broadcast(np.sort(feature))
+    clean = counted(rows.filter("_toxic <> 1"), wanted).toArrow()
+    order = np.argsort(feature)
+    at = order[np.searchsorted(feature[order], of(clean, "feature").view(np.uint64))]
+    table = {"feature": feature, "above": of(top, "above").view(np.uint64), "toxic": of(top, "tokens"), "toxic_docs": of(top, "docs")}
+    for name, source in (("clean", "tokens"), ("clean_docs", "docs")):
+        table[name] = np.zeros(len(feature), np.int64)
+        table[name][at] = of(clean, source)
     sums = {"t": totals[True]["n"], "c": totals[False]["n"], "td": totals[True]["d"], "cd": totals[False]["d"]}
     hashes, scores, tox, cln = _token_scores(table, sums)
     up = scores > 0
