@@ -9,7 +9,7 @@ one that its inner words alone decide, so two equal windows share it.
 
   1. scan      high-level symbols, each with its document and position, dealt by symbol
   2. reveal    symbols that occur again give candidate windows, dealt by document
-  3. verify    128-bit names of candidate windows, the earliest place of each stays
+  3. verify    96-bit names of candidate windows, the earliest place of each stays
   4. remove    words under all later places go
 
 Each step sends packed arrays, not rows. What a task sees twice itself is settled there: a symbol or window
@@ -159,7 +159,7 @@ _SYMBOL, _HIT, _TEXT, _NAME, _GONE = 2, 0, 3, 2, 1
 def _scan(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", 16 << 20):
+            for part in slices(batch, "_text", 6 << 20):
                 words = Words(part.column("_text"))
                 ids = _ids(part.column("_id"))
                 name, doc, pos = high_symbols(words.ids(), words.offsets)
@@ -217,9 +217,9 @@ def _reveal(buckets: int) -> Callable:
 
 def _texts(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", 1)
+        codec = pa.Codec("zstd", 3)
         for batch in batches:
-            for part in slices(batch, "_text", 16 << 20):
+            for part in slices(batch, "_text", 6 << 20):
                 ids = _ids(part.column("_id"))
                 bucket = _doc_bucket(ids, buckets)
                 order = np.argsort(bucket, kind="stable")
@@ -250,7 +250,7 @@ def _window_names(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     for k in range(WINDOW):
         a += words[at + k] * _ODD[k]
         b += other[at + k] * _ODD[WINDOW + k]
-    return mix(a), mix(b)
+    return mix(a), (mix(b) >> np.uint64(32)).astype(np.uint32)
 
 
 def _places(ids: np.ndarray, sorted_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -370,11 +370,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     does not remove its twin. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a packed row goes from each slice to each bucket, so buckets are no more than there are tasks to read them
+    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def dealt(frame: DataFrame) -> DataFrame:
-        return frame.repartition("bucket").sortWithinPartitions("bucket", "kind")
+        return frame.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
     hits = cut(dealt(rows.mapInArrow(_scan(buckets), _ROW)).mapInArrow(_reveal(buckets), _ROW))
     texts = rows.mapInArrow(_texts(buckets), _ROW)
