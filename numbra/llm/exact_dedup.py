@@ -237,6 +237,9 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     number = F.col(id_col).cast("long")
     rows = docs.select(number.alias("_owner"), text.alias("_text")).withColumn("_sha", F.unhex(F.sha2("_text", 256)))
     kept = _owners(rows, keep, trie_bytes).select(F.col("_sha").alias("_keep_key"), F.col("keep_id").alias("_keep_id"))
-    named = docs.withColumn("_keep_sha", F.unhex(F.sha2(text, 256)))
-    joined = named.join(kept, (named["_keep_sha"] == kept["_keep_key"]) & number.eqNullSafe(F.col("_keep_id")))
-    return joined.dropDuplicates(["_keep_sha"]).select(*docs.columns)
+    keys = lambda sha, n: {"_keep_sha": sha, "_keep_number": F.coalesce(n, F.lit(0)), "_keep_none": n.isNull()}
+    named = docs.withColumns(keys(F.unhex(F.sha2(text, 256)), number))
+    kept = kept.select(*(c.alias(n) for n, c in keys(F.col("_keep_key"), F.col("_keep_id")).items()))
+    # plain equalities, so the join's partitioning serves the last step too; a kept text has one id
+    joined = named.join(kept, ["_keep_sha", "_keep_number", "_keep_none"], "left_semi")
+    return joined.dropDuplicates(["_keep_sha", "_keep_number", "_keep_none"]).select(*docs.columns)
