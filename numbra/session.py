@@ -26,6 +26,8 @@ def build_session(app: str = "numbra", master: str | None = None, **conf: str) -
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # wide scores make methods that the JVM would not compile; beyond this size operators generate their own, split ones
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **{k.replace("_", "."): v for k, v in conf.items()},
     }
     return builder.config(map=settings).getOrCreate()
