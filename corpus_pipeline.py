@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity filter, exact dedup, SimHash near-dedup, decontamination, packing.
+"""The corpus pipeline: toxicity filter, exact dedup, near-dedup, decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Stages name the document's id and text only, so documents may have further columns.
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from numbra.llm.common import shared_path
 from numbra.llm.decontaminate import mark
 from numbra.llm.exact_dedup import keep_distinct
+from numbra.llm.near_dedup import keep_near_distinct
 from numbra.llm.packing import pack_documents
 from numbra.llm.queries import tokenizer_path
-from numbra.llm.simhash import keep_representatives
 from numbra.llm.toxicity import fit_toxicity, score_rows
 
 
@@ -30,8 +30,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, directly or over others, the one with the smallest id."""
-    return keep_representatives(docs)
+    """Of documents with a 5-word similarity of 0.8 or more, directly or over others, the one with the smallest id."""
+    return keep_near_distinct(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
-    ("SimHash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("decontamination", drop_benchmark_leaks),
     ("packing", pack_sequences),
 ]
