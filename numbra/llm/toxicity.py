@@ -23,7 +23,7 @@ from numbra.llm.common import Words, cut, slices
 
 #: The classifier is fitted on about this many labelled rows at most (all of them, if there are fewer).
 MOST_LABELLED = 200_000
-#: Features that the classifier keeps, the most significant first.
+#: Features that the driver and the counting tasks hold at once; more of them are handled in several blocks.
 MOST_FEATURES = 200_000
 #: Pseudo-tokens of the Dirichlet prior; least toxic tokens and documents of a feature; its least z by documents.
 PRIOR, LEAST_TOKENS, LEAST_DOCUMENTS, LEAST_Z = 4.0, 4, 3, 3.0
@@ -67,7 +67,7 @@ def _features(values: pa.Array) -> list[np.ndarray]:
 
 
 def _counter(wanted) -> Callable:
-    """(feature, kind, above, tokens, docs) of all features of the texts, or of those in the sorted array `wanted`; `above`: the next shorter one."""
+    """(feature, kind, above, top, tokens, docs) of all features of the texts, or of those in the sorted array `wanted`; `above`: the next shorter one, `top`: the shortest one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,9 +78,10 @@ def _counter(wanted) -> Callable:
                     continue
                 tokens = np.bincount(words.codes, minlength=n)
                 pairs = np.unique(np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets)) * n + words.codes)
-                above = np.zeros(n, np.uint64)
+                above, top = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 for kind, of in enumerate(_features(words.values)):
                     use = of > 0
+                    top = np.where(top > 0, top, of)
                     if wanted is not None:
                         w = wanted.value
                         use &= w[np.minimum(np.searchsorted(w, of), len(w) - 1)] == of
@@ -90,9 +91,9 @@ def _counter(wanted) -> Callable:
                         index[use] = at
                         mine = pairs[index[pairs % n] >= 0]
                         docs = np.unique(mine // n * len(named) + index[mine % n]) % len(named)
-                        columns = [named.view(np.int64), np.full(len(named), kind, np.int8), above[use][first].view(np.int64)]
+                        columns = [named.view(np.int64), np.full(len(named), kind, np.int8), above[use][first].view(np.int64), top[use][first].view(np.int64)]
                         columns += [np.bincount(at, tokens[use], len(named)).astype(np.int64), np.bincount(docs, minlength=len(named))]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["feature", "kind", "above", "tokens", "docs"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["feature", "kind", "above", "top", "tokens", "docs"])
                     above = np.where(of > 0, of, above)
 
     return run
@@ -214,11 +215,11 @@ def fit_toxicity(
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # about most_labelled rows of two numbers
     rows = rows.join(F.broadcast(known), "_id").select("_text", "_toxic")
-    spark, shape = docs.sparkSession, "feature long, kind byte, above long, tokens long, docs long"
+    spark, shape = docs.sparkSession, "feature long, kind byte, above long, top long, tokens long, docs long"
 
     def counted(frame: DataFrame, wanted) -> DataFrame:
         found = frame.select("_text").mapInArrow(_counter(wanted), shape)
-        return found.groupBy("feature").agg(F.max("kind").alias("kind"), F.max("above").alias("above"), F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
+        return found.groupBy("feature").agg(F.max("kind").alias("kind"), F.max("above").alias("above"), F.max("top").alias("top"), F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
 
     words = F.size(F.split(F.trim(F.coalesce("_text", F.lit(""))), r"\s+"))
     totals = {r["t"]: r for r in rows.groupBy((F.col("_toxic") == 1).alias("t")).agg(F.sum(words).alias("n"), F.count("*").alias("d")).collect()}
@@ -226,30 +227,33 @@ def fit_toxicity(
     if len(totals) < 2:
         return nothing
     toxic = counted(rows.filter("_toxic = 1"), None).filter((F.col("tokens") >= LEAST_TOKENS) & (F.col("docs") >= LEAST_DOCUMENTS))
-    # the features of most documents: whole groups of equal counts while they fit into most_features
     toxic = cut(toxic)
-    bins = {r["d"]: r["count"] for r in toxic.groupBy(F.least("docs", F.lit(1000)).alias("d")).count().collect()}
-    least, total = 1001, 0
-    for d in sorted(bins, reverse=True):
-        if (total := total + bins[d]) > most_features:
-            break
-        least = d
-    # five numbers for each of most_features rows at most, as arrays
-    top = toxic.filter(F.least("docs", F.lit(1000)) >= least).select("feature", "above", "tokens", "docs").toArrow()
-    if not top.num_rows:
-        return nothing
+    # features of one shortest prefix stay together, since priors lean on shorter ones
+    blocks = max(1, math.ceil(toxic.count() / most_features))
     of = lambda found, name: found.column(name).to_numpy()
-    feature = of(top, "feature").view(np.uint64)
-    wanted = spark.sparkContext.broadcast(np.sort(feature))
-    clean = counted(rows.filter("_toxic <> 1"), wanted).toArrow()
-    order = np.argsort(feature)
-    at = order[np.searchsorted(feature[order], of(clean, "feature").view(np.uint64))]
-    table = {"feature": feature, "above": of(top, "above").view(np.uint64), "toxic": of(top, "tokens"), "toxic_docs": of(top, "docs")}
-    for name, source in (("clean", "tokens"), ("clean_docs", "docs")):
-        table[name] = np.zeros(len(feature), np.int64)
-        table[name][at] = of(clean, source)
     sums = {"t": totals[True]["n"], "c": totals[False]["n"], "td": totals[True]["d"], "cd": totals[False]["d"]}
-    hashes, scores, tox, cln = _token_scores(table, sums)
+    telling = []
+    for k in range(blocks):
+        # five numbers for each of about most_features rows, as arrays
+        mine = toxic.filter(F.pmod(F.xxhash64("top"), F.lit(blocks)) == k).select("feature", "above", "tokens", "docs").toArrow()
+        if not mine.num_rows:
+            continue
+        feature = of(mine, "feature").view(np.uint64)
+        wanted = spark.sparkContext.broadcast(np.sort(feature))
+        clean = counted(rows.filter("_toxic <> 1"), wanted).toArrow()
+        order = np.argsort(feature)
+        at = order[np.searchsorted(feature[order], of(clean, "feature").view(np.uint64))]
+        table = {"feature": feature, "above": of(mine, "above").view(np.uint64), "toxic": of(mine, "tokens"), "toxic_docs": of(mine, "docs")}
+        for name, source in (("clean", "tokens"), ("clean_docs", "docs")):
+            table[name] = np.zeros(len(feature), np.int64)
+            table[name][at] = of(clean, source)
+        telling.append(_token_scores(table, sums))
+        wanted.unpersist()
+    if not telling:
+        return nothing
+    hashes, scores, tox, cln = (np.concatenate(x) for x in zip(*telling, strict=True))
+    order = np.argsort(hashes)
+    hashes, scores, tox, cln = hashes[order], scores[order], tox[order], cln[order]
     up = scores > 0
     # words outside of the model: at most what the rising features leave of either class, by their longest share
     t, c = (min(0.5, x[up].max(initial=0) / n) for x, n in ((tox, sums["t"]), (cln, sums["c"])))
@@ -300,7 +304,7 @@ def score_rows(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     """
     if clash := {"_text", "_score", "_passages"} & set(docs.columns):
         raise ValueError(f"columns are called {clash}")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES scores
+    held = docs.sparkSession.sparkContext.broadcast(model)  # scores of the telling features only
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     shape += ", _score double, _passages array<struct<start: int, end: int, score: double, expected: double>>"
     text = docs.withColumnRenamed(text_col, "_text")

@@ -396,3 +396,11 @@ def test_tool_calls(spark):
     assert got[None, None].json == '{"content":null,"role":null}'
     nodes, edges = spark.createDataFrame([(c,) for c in "abcde"], "node string"), spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "d")], "node string, after string")
     assert {r.node: r.level for r in levels(nodes, edges).collect()} == {"a": 0, "b": 1, "c": 2, "d": None, "e": 0}
+
+
+def test_toxicity_features_in_blocks(spark):
+    rng = random.Random(8)
+    texts = [" ".join([f"{rng.choice('abcdef')}word{rng.randrange(30)}" for _ in range(30)] + ["slurword"] * 2 * (k % 4 == 0)) for k in range(160)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(160)], "doc_id long, toxic int")
+    whole, blocks = (fit_toxicity(documents(spark, texts), labels, most_features=n) for n in (10_000, 8))
+    assert whole.hashes.size and whole.hashes.tolist() == blocks.hashes.tolist() and whole.scores.tolist() == blocks.scores.tolist()
