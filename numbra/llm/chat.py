@@ -7,6 +7,8 @@ Rows of a conversation are never gathered in one task: the order is columns to s
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,15 +64,15 @@ def valid_arguments(arguments: Column, properties: Column, required: Column) ->
     return F.coalesce(typed & F.forall(required, lambda r: F.array_contains(keys, r)), F.lit(False))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, level): 0 without predecessors, else one more than the highest of them; null on or after a cycle
-    and after `most` levels. `edges` has (node, after). One shuffle join for each level that occurs."""
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level): 0 without predecessors, else one more than the highest of them; null on or after a cycle.
+    `edges` has (node, after). One shuffle join for each level that occurs."""
     edges = edges.select("node", "after").dropna().distinct()
     edges = cut(edges.join(nodes.select(F.col("node").alias("after")).distinct(), "after", "left_semi"))
     # a node whose predecessors are all settled settles in the next round
     settled = cut(nodes.select("node").distinct().join(edges, "node", "left_anti").withColumn("level", F.lit(0)))
     waiting = edges
-    for k in range(1, most):
+    for k in count(1):
         last = settled.filter(F.col("level") == k - 1).select(F.col("node").alias("after"))
         waiting = cut(waiting.join(last, "after", "left_anti"))
         left = waiting.select("node").distinct()

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from numbra.llm import queries
 from numbra.llm.chat import levels, link_tool_calls
@@ -404,3 +405,9 @@ def test_toxicity_features_in_blocks(spark):
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(160)], "doc_id long, toxic int")
     whole, blocks = (fit_toxicity(documents(spark, texts), labels, most_features=n) for n in (10_000, 8))
     assert whole.hashes.size and whole.hashes.tolist() == blocks.hashes.tolist() and whole.scores.tolist() == blocks.scores.tolist()
+
+
+def test_levels_of_a_long_chain(spark):
+    nodes = spark.range(70).select(F.col("id").cast("string").alias("node")).coalesce(1)
+    edges = spark.range(1, 70).select(F.col("id").cast("string").alias("node"), (F.col("id") - 1).cast("string").alias("after")).coalesce(1)
+    assert {r.node: r.level for r in levels(nodes, edges).collect()} == {str(k): k for k in range(70)}
