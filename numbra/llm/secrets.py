@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numbra.llm.common import cut
-from numbra.llm.spans import find_spans, join_spans, labelled, touches
+from numbra.llm.spans import apart, find_spans, join_spans, labelled
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # maximal runs, so the least lengths can stand in the patterns
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Runs of at least this many characters are scored; the ratio grows with the length, so it alone decides.
+LEAST_RUN = 12
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}+"
 #: Labelled samples: generated strings of each of three alphabets, and about how many documents whose words are ordinary.
 RANDOM_SAMPLES, ORDINARY_DOCUMENTS = 2000, 1000
 #: Least log-likelihood ratio of a secret (natural logarithm), in all and for each character.
@@ -103,10 +105,10 @@ def base_spans(text: Column) -> dict[str, Column]:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list[float] | None = None) -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Base spans come from the fixed shapes. A further span (kind `markov`) is a run of 20 or more characters
+    Base spans come from the fixed shapes. A further span (kind `markov`) is a run of LEAST_RUN or more characters
     of A-Za-z0-9+/_=- with a digit and a letter that touches no base span and that the models call random.
     Null texts are empty; null ids are kept and repeated rows are scanned each; an empty table gives an
-    empty result. `table` is a trained ratio table; without one it is trained on samples of `docs`.
+    empty result; other columns are not read. `table` is a trained ratio table; without one it is trained on samples of `docs`.
     """
     spark = docs.sparkSession
     if table is None:
@@ -115,18 +117,16 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weights = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     base = base_spans(F.col("_text"))
-    tokens = find_spans(F.col("_text"), TOKEN, F.col("_text").rlike("[A-Za-z0-9+/_=-]{20}"))
+    tokens = find_spans(F.col("_text"), TOKEN, F.col("_text").rlike(f"[A-Za-z0-9+/_=-]{{{LEAST_RUN}}}"))
     tokens = F.filter(tokens, lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]"))
     # the scan is done once, before anything reads its columns more than once
     found = cut(rows.select("_id", *(c.alias(f"_{k}") for k, c in base.items()), tokens.alias("_tokens")))
     all_base = F.concat(*(labelled(F.col(f"_{k}"), k, i) for i, k in enumerate(KINDS)))
-    found = found.withColumn("_base", all_base)
-    rated = F.transform("_tokens", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), likelihood_ratio(s["match"], weights).alias("ratio")))
-    found = found.withColumn("_rated", F.when(F.size("_tokens") > 0, rated).otherwise(F.array().cast("array<struct<start:int,end:int,ratio:double>>")))
-    random = F.filter(
-        "_rated",
-        lambda s: (s["ratio"] >= LEAST_RATIO) & (s["ratio"] >= LEAST_RATE * (s["end"] - s["start"])) & ~touches(F.col("_base"), s["start"], s["end"]),
-    )
+    free = apart(F.col("_tokens"), *(F.col(f"_{k}") for k in KINDS))
+    rated = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), likelihood_ratio(s["match"], weights).alias("ratio")))
+    none = F.array().cast("array<struct<start:int,end:int,ratio:double>>")
+    found = found.withColumns({"_base": all_base, "_rated": F.when(F.size("_tokens") > 0, rated).otherwise(none)})
+    random = F.filter("_rated", lambda s: (s["ratio"] >= LEAST_RATIO) & (s["ratio"] >= LEAST_RATE * (s["end"] - s["start"])))
     return found.select(
         F.col("_id").alias(id_col),
         *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS),
