@@ -34,7 +34,7 @@ _LABEL = r"^([^0-9@:=]*\p{L}[^0-9@:=]*)[:=]"
 LEAST_CORE, LONG_CORE = 5, 64
 #: Least distinct known tokens of a pattern, least share of known ones among all that it extracts, least score
 #: (share times log2 of known ones); least confidence of a token.
-LEAST_KNOWN, LEAST_SHARE, LEAST_SCORE, LEAST_TRUST = 4, 0.7, 2.0, 0.9
+LEAST_KNOWN, LEAST_SHARE, LEAST_SCORE, LEAST_TRUST = 4, 0.7, 2.0, 0.7
 
 
 def _luhn(match: Column) -> Column:
