@@ -93,18 +93,24 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
-    # the same messages from plain JSON functions; a user turn is a call with valid arguments
+    # the same messages from plain JSON functions; a user turn is a call with valid arguments, one below the call two turns before
     "op3_chat_format": """
         WITH t AS (
             SELECT conv_id, turn, role, CAST(to_json(text) AS VARCHAR) AS content, CAST(to_json(role) AS VARCHAR) AS who,
                    CASE role WHEN 'user' THEN 'call_' || conv_id || '_' || turn
                              WHEN 'assistant' THEN 'call_' || conv_id || '_' || (turn - 1) END AS call_id
             FROM conversations
+        ), islands AS (
+            SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island
+            FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user')
+        ), chains AS (
+            SELECT 'call_' || conv_id || '_' || turn AS call_id, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth
+            FROM islands
         ), sides AS (
             SELECT conv_id, call_id, bool_or(role = 'user') AS has_call, bool_or(role = 'assistant') AS has_result
             FROM t WHERE call_id IS NOT NULL GROUP BY ALL
         ), m AS (
-            SELECT t.conv_id, t.turn, CASE WHEN role = 'assistant' AND has_call THEN 1 ELSE 0 END AS level,
+            SELECT t.conv_id, t.turn, CAST(2 * coalesce(depth, 0) + CASE WHEN role = 'assistant' AND has_call THEN 1 ELSE 0 END AS INT) AS level,
                    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS part, t.call_id,
                    CASE role WHEN 'user' THEN has_result WHEN 'assistant' THEN has_call END AS linked,
                    CASE WHEN role = 'user' THEN text_known END AS valid,
@@ -114,7 +120,7 @@ ORACLES: dict[str, str] = {
                        WHEN 'assistant' THEN '{"content":' || content || CASE WHEN has_call THEN ',"name":"answer"' ELSE '' END
                             || ',"role":"assistant","tool_call_id":"' || t.call_id || '"}'
                        ELSE '{"content":' || content || ',"role":' || who || '}' END AS json
-            FROM (SELECT *, content <> 'null' AS text_known FROM t) t LEFT JOIN sides USING (conv_id, call_id)
+            FROM (SELECT *, content <> 'null' AS text_known FROM t) t LEFT JOIN sides USING (conv_id, call_id) LEFT JOIN chains USING (call_id)
         )
         SELECT *, sha256(json) AS json_sha256 FROM m
     """,

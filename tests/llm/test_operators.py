@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing names."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -408,6 +409,40 @@ def test_toxicity_features_in_blocks(spark):
 
 
 def test_levels_of_a_long_chain(spark):
-    nodes = spark.range(70).select(F.col("id").cast("string").alias("node")).coalesce(1)
-    edges = spark.range(1, 70).select(F.col("id").cast("string").alias("node"), (F.col("id") - 1).cast("string").alias("after")).coalesce(1)
-    assert {r.node: r.level for r in levels(nodes, edges).collect()} == {str(k): k for k in range(70)}
+    """A chain of 300, a cycle with a tail, and nodes with several predecessors."""
+    nodes = spark.range(320).select(F.col("id").cast("string").alias("node")).coalesce(1)
+    pairs = [(k, k - 1) for k in range(1, 300)] + [(300, 302), (301, 300), (302, 301), (303, 302), (304, 299), (304, 5), (305, 304), (306, 305), (306, 0), (307, 306), (307, 303), (308, 999)]
+    edges = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "node string, after string").coalesce(1)
+    expected = {k: k for k in range(300)} | dict.fromkeys([300, 301, 302, 303, 307]) | {304: 300, 305: 301, 306: 302} | dict.fromkeys(range(308, 320), 0)
+    assert {int(r.node): r.level for r in levels(nodes, edges).collect()} == expected
+
+
+def test_tool_arguments_are_json(spark):
+    """Every line parses; nested keys are sorted, numbers canonical, schemas checked to the leaves."""
+    place = '{"type":"object","properties":{"x":{"type":"integer","minimum":0},"tags":{"type":"array","items":{"type":"string"}}},"required":["x"]}'
+    cases = [
+        ({"o": '{"b":1.0,"a":[1e2, 1E-9,0.5,-0]}', "s": '"x"'}, True, '{"o":{"a":[100,1e-9,0.5,0],"b":1},"s":"x"}'),
+        ({"o": "{bad json}", "s": '"x" "y"'}, False, '{"o":"{bad json}","s":"\\"x\\" \\"y\\""}'),
+        ({"o": "{}", "s": "NaN"}, False, '{"o":{},"s":"NaN"}'),
+        ({"o": "{}"}, False, '{"o":{}}'),
+        ({"o": "{}", "s": "null"}, False, '{"o":{},"s":null}'),
+        ({"o": "{}", "s": '"\\ud800\\u00e9\\n"'}, True, '{"o":{},"s":"\\ud800é\\n"}'),
+        ({"o": "{}", "s": '"x"', "p": '{"tags":["a","b"],"x":3}'}, True, '{"o":{},"p":{"tags":["a","b"],"x":3},"s":"x"}'),
+        ({"o": "{}", "s": '"x"', "p": '{"tags":["a",1],"x":3}'}, False, '{"o":{},"p":{"tags":["a",1],"x":3},"s":"x"}'),
+        ({"o": "{}", "s": '"x"', "p": '{"x":-3}'}, False, '{"o":{},"p":{"x":-3},"s":"x"}'),
+        ({"o": "[" * 100_000, "s": '"x"'}, False, None),
+        ({"o": "{}", "s": None}, False, '{"o":{},"s":null}'),
+    ]
+    shape = "conv_id long, turn long, role string, text string, call_id string, tool string, arguments map<string,string>, after array<string>, has_call int, of_tool string"
+    rows = [(1, k, "assistant", None, f"c{k}", "t", a, [None], 1, "x") for k, (a, _, _) in enumerate(cases)]
+    rows += [(2, 0, "assistant", None, "d", "u", None, None, 1, "x"), (2, 1, "assistant", None, "d", "t", None, None, 1, "x"), (2, 2, "tool", "r", "d", None, None, None, 1, "x"), (2, 2, "tool", "r", "d", None, None, None, 1, "x")]
+    tools = spark.createDataFrame([("t", {"o": "object", "s": "string", "p": place}, ["o", "s"], 1)] * 2 + [("broken", {"a": "{"}, None, 1), (None, None, None, 1)], "tool string, properties map<string,string>, required array<string>, conv_id int")
+    messages = spark.createDataFrame(rows, shape)
+    got = sorted(link_tool_calls(messages, tools).collect(), key=lambda r: (r.conv_id, r.turn))
+    assert len(got) == len(rows)
+    for r, (_, valid, text) in zip(got, cases, strict=False):
+        line = json.loads(r.json)["tool_calls"][0]
+        assert r.valid == valid and line["name"] == "t"
+        assert text is None or f'"arguments":{text},' in r.json
+    assert [json.loads(r.json).get("name") for r in got[-2:]] == ["t", "t"] and all(r.linked for r in got[-4:])
+    assert link_tool_calls(messages.filter("false"), tools).count() == 0 and link_tool_calls(messages, tools.filter("false")).filter("valid").count() == 0
