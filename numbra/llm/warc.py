@@ -22,8 +22,8 @@ from numbra.llm.common import cut, shared_path
 
 #: Payloads of this size or more are stored once.
 LEAST_REVISIT = 1000
-#: Ranges with up to GAP bytes between them are read at once, up to about READ bytes; a reading task gets ranges of SPAN bytes of a file.
-GAP, READ, SPAN = 64 << 10, 4 << 20, 32 << 20
+#: Ranges with up to GAP bytes between them are read at once, up to about READ bytes; a reading task gets about SPAN bytes.
+GAP, READ, SPAN = 64 << 10, 4 << 20, 8 << 20
 _END = b"\r\n"
 INDEX = "id long, url string, record_type string, refers_to long, payload_bytes long, digest string, file string, offset long, length long"
 
@@ -129,10 +129,12 @@ def write_archives(
     html = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumns({"key": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload")})
-    # only the owners of large payloads; a hot payload is one row of them
-    owners = rows.filter(F.col("size") >= least_revisit).groupBy("key", "size").agg(F.max("id").alias("owner"), F.count("*").alias("rows"))
-    owners = owners.filter("rows > 1").drop("rows")
-    rows = rows.join(owners, ["key", "size"], "left")
+    # small payloads, the empty ones among them, meet nobody
+    large, small = rows.filter(F.col("size") >= least_revisit), rows.filter(F.col("size") < least_revisit)
+    owners = large.groupBy("key", "size").agg(F.max("id").alias("owner"), F.count("*").alias("rows")).filter("rows > 1")
+    # cut, so that the join is between two plain exchanges: Spark splits the rows of a hot payload over many tasks
+    owners = cut(owners.drop("rows"))
+    rows = large.join(owners, ["key", "size"], "left").unionByName(small, allowMissingColumns=True)
     revisit = F.col("owner").isNotNull() & ~F.col("id").eqNullSafe(F.col("owner"))
     chosen = rows.select("id", "url", "payload", F.sha1("payload").alias("digest"), "owner", revisit.alias("revisit"))
     return cut(chosen.mapInArrow(_writer(folder, date), INDEX))
@@ -178,9 +180,12 @@ def _reader(folder: str):
 
 def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that the rows of an index select, from sorted and joined byte ranges: id, url, record_type,
-    refers_to, payload_bytes, digest and payload (null for revisits, and for all if payloads=False)."""
-    ranges = index.select("file", "offset", "length").withColumn("span", F.floor(F.col("offset") / SPAN))
-    ranges = ranges.repartition("file", "span").sortWithinPartitions("file", "offset").drop("span")
+    refers_to, payload_bytes, digest and payload (null for revisits, and for all if payloads=False).
+
+    The number of reading tasks follows the bytes to read, not the size of the index."""
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // SPAN))
+    ranges = index.select("file", "offset", "length").withColumn("span", F.floor(F.col("offset") / (SPAN // 4)))
+    ranges = ranges.repartition(tasks, "file", "span").sortWithinPartitions("file", "offset").drop("span")
     shape = "id long, url string, record_type string, refers_to long, payload_bytes long, digest string, payload binary"
     found = ranges.mapInArrow(_reader(folder), shape)
     return found if payloads else found.withColumn("payload", F.lit(None).cast("binary"))
