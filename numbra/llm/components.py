@@ -32,23 +32,31 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
+def _split(frame: DataFrame, *columns: str) -> DataFrame:
+    """The frame with an exchange of its own when it is joined by the first column: its partitioning is hidden
+    behind an expression, so a join with it is between two plain exchanges, which Spark splits when one is skewed."""
+    key = columns[0]
+    return frame.select(F.when(F.col(key).isNotNull(), F.col(key)).alias(key), *columns[1:])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root): every node that has a link to another one, with the smallest node of its component.
 
-    Large and small stars only replace links within a component, and the links end as stars around the
-    smallest nodes. Rounds grow with the logarithm of the longest path; each one is cut with a checkpoint.
-    A hub's links meet in map-side minima and in a sort-merge join that Spark splits when it is skewed.
-    Null nodes and links of a node to itself are ignored; an empty table gives an empty result.
+    Nodes are longs or structs that can be ordered. Large and small stars only replace links within a
+    component, and the links end as stars around the smallest nodes. Rounds grow with the logarithm of the
+    longest path; each one is cut with a checkpoint. A hub's links meet in map-side minima and in joins whose
+    sides are plain exchanges, so that Spark splits a hub. Null nodes and links of a node to itself are
+    ignored; an empty table gives an empty result.
     """
-    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.filter("v > u").join(_split(lowest, "u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(_split(lowest, "u", "m"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:

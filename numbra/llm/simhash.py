@@ -255,12 +255,17 @@ def simhash_components(
     Repeated rows are rows of their own. An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, id_col, text_col, words, seed))
-    owners = prints.groupBy("_fp").agg(F.min("_id").alias("_low"))
-    found = components(links(prints.select("_fp").distinct(), limit))
-    owners = owners.join(found, owners["_fp"] == found["node"], "left").select("_fp", "_low", F.coalesce("root", "_fp").alias("_root"))
-    lowest = owners.groupBy("_root").agg(F.min("_low").alias("component_id"))
-    named = owners.join(lowest, "_root").select("_fp", "component_id")
-    return prints.join(named, "_fp").select(
+    # nodes are ordered by their smallest ids, so the root of a component has the answer and nobody asks for it by key;
+    # the fingerprint keeps nodes apart whose rows repeat an id
+    name = F.struct(F.col("_low").isNull().alias("none"), F.col("_low").alias("id"), F.col("_fp").alias("fp"))
+    owners = cut(prints.groupBy("_fp").agg(F.min("_id").alias("_low")).select("_fp", name.alias("_node")))
+    found = links(owners.select("_fp"), limit)
+    found = found.join(owners.select(F.col("_fp").alias("a"), F.col("_node").alias("x")), "a")
+    found = found.join(owners.select(F.col("_fp").alias("b"), F.col("_node").alias("y")), "b")
+    roots = components(found, "x", "y").select(F.col("node.fp").alias("_fp"), F.col("root.id").alias("_root"), F.lit(True).alias("_linked"))
+    named = owners.join(roots, "_fp", "left").select("_fp", F.when(F.col("_linked"), F.col("_root")).otherwise(F.col("_node.id")).alias("component_id"))
+    # cut, so that Spark can split the rows of a hot fingerprint
+    return prints.join(cut(named), "_fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -273,6 +278,8 @@ def keep_representatives(
     Rows that repeat the smallest id stay together, and so do rows of a component without any id.
     No column of docs may be called _keep_id.
     """
+    if "_keep_id" in docs.columns:
+        raise ValueError("_keep_id is a column already")
     found = simhash_components(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, words, limit, seed)
     kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep_id")).distinct()
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_keep_id"]), "left_semi")
