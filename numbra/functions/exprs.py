@@ -49,6 +49,9 @@ def nearest_depot(lat: str, lon: str, n: int) -> str:
     return least([haversine(lat, lon, *d) for d in depots(n)])
 
 
+# The coefficients of the two deviations below are fixed values as well.
+
+
 def sensor_deviation(mode: int) -> str:
     """Standardised distance of temp, vibration, pressure, amps from a mode whose baselines follow the phase."""
     w = f"(phase * {num(2 * math.pi / SECONDS_PER_DAY)})"

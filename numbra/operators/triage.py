@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
@@ -24,6 +25,10 @@ OUTRO = (
     "\nWrite a short triage note: which machines to inspect first and why, in at most six sentences. "
     "Do not invent readings that are not listed."
 )
+ACCOUNT = (
+    "@@TRIAGE engine={engine} model_load_ms={load:.1f} resident={resident} prompt_chars={characters} prompt_tokens={asked} "
+    "generated_tokens={made} prefill_ms={prefill:.1f} decode_ms={decode:.1f} inference_wall_ms={wall:.1f} decode_tok_s={rate:.2f}\n"
+)
 
 
 def digest(readings: DataFrame, modes: int, threshold: float | None) -> DataFrame:
@@ -146,6 +151,7 @@ def resident(make: Callable[[], TextEngine]) -> tuple[TextEngine, bool, int]:
         return _RESIDENT[name][0], True, _RESIDENT[name][1]
     began = time.perf_counter_ns()
     engine.load()
+    atexit.register(engine.close)  # when the worker ends
     _RESIDENT[name] = (engine, time.perf_counter_ns() - began)
     return engine, False, _RESIDENT[name][1]
 
@@ -153,11 +159,10 @@ def resident(make: Callable[[], TextEngine]) -> tuple[TextEngine, bool, int]:
 def report(engine: TextEngine, reused: bool, load_ns: int, characters: int, c: Completion) -> str:
     """The accounting line above a note."""
     rate = c.generated_tokens / (c.decode_ns / 1e9) if c.decode_ns else 0.0
-    return (
-        f"@@TRIAGE engine={engine.describe()} model_load_ms={load_ns / 1e6:.1f} resident={str(reused).lower()} prompt_chars={characters} "
-        f"prompt_tokens={c.prompt_tokens} generated_tokens={c.generated_tokens} prefill_ms={c.prefill_ns / 1e6:.1f} "
-        f"decode_ms={c.decode_ns / 1e6:.1f} inference_wall_ms={c.wall_ns / 1e6:.1f} decode_tok_s={rate:.2f}\n"
-    )
+    return ACCOUNT.format(
+        engine=engine.describe(), load=load_ns / 1e6, resident=str(reused).lower(), characters=characters, asked=c.prompt_tokens,
+        made=c.generated_tokens, prefill=c.prefill_ns / 1e6, decode=c.decode_ns / 1e6, wall=c.wall_ns / 1e6, rate=rate,
+    )
 
 
 def triage_udf(make: Callable[[], TextEngine] = RuleEngine, most_tokens: int = 256, accounting: bool = True):

@@ -7,8 +7,6 @@ rounded after the aggregate.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,6 +20,7 @@ from numbra.operators import iterative as I
 from numbra.operators import linalg as L
 from numbra.operators import relational as R
 from numbra.operators import triage as TR
+from numbra.session import shared_path
 from numbra.sources import datagen, logs, tables
 from numbra.sources.tables import load
 
@@ -251,7 +250,11 @@ def triage_listagg(spark: SparkSession, sf: str) -> DataFrame:
     return TR.joined(TR.digest(readings(spark, sf), 8, 60.0))
 
 
-@query("triage_note", None)
+WORST = "CAST(ROUND(worst, 2) AS VARCHAR)"
+NOTE = f"SELECT 'Inspect first: ' || string_agg('machine ' || lpad(CAST(machine_id AS VARCHAR), 3, '0') || ' (worst ' || {WORST} || ');', ' ' ORDER BY ROUND(worst, 2) DESC, line) AS note"
+
+
+@query("triage_note", f"{NOTE} FROM (SELECT *, {LINE} AS line FROM ({DIGEST}) d ORDER BY ROUND(worst, 2) DESC, line LIMIT 3) t")
 def triage_note(spark: SparkSession, sf: str) -> DataFrame:
     return TR.note(readings(spark, sf), 8, 60.0, accounting=False)
 
@@ -321,7 +324,7 @@ def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return FP.fingerprint(load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
 
 
-for _name, _set in (("all", logs.MATCH_ALL), ("selective", logs.SELECTIVE[:4])):
+for _name, _set in (("all", logs.MATCH_ALL), ("selective", logs.SELECTIVE)):
     _where = " AND ".join(f"regexp_matches(line, '{p}')" for p in _set)
 
     @query(f"multi_regex_count_{_name}", f"SELECT COUNT(*) AS matches FROM ({LOGS.replace('AS STRING', 'AS VARCHAR')}) l WHERE {_where}", True)
@@ -387,6 +390,11 @@ def rounded(frame: DataFrame, digits: int) -> DataFrame:
     return frame.select(*(F.round(c, digits).alias(c) for c in frame.columns))
 
 
+@query("gram_matrix_single_16", "SELECT " + ", ".join(f"ROUND(SUM(SIN(c{i}) * SIN(c{j})), 1) AS g_{i}_{j}" for i in range(16) for j in range(i, 16)) + f" FROM ({flat_sql(16)}) v")
+def gram_matrix_single_16(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(L.gram_matrix(vector_columns(spark, sf, 16), [f"SIN(c{i})" for i in range(16)], single=True), 1)
+
+
 @query("gram_matrix_8", gram_sql([f"c{i}" for i in range(8)], flat_sql(8)))
 def gram_matrix_8(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(L.gram_matrix(vector_columns(spark, sf, 8), [f"c{i}" for i in range(8)]), 6)
@@ -398,130 +406,124 @@ def gram_matrix_sin_16(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DOT = "list_inner_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[])"
-PAIRS = f"SELECT q.vec_id AS qid, p.vec_id AS rid, {DOT} AS score FROM embeddings q, embeddings p WHERE q.vec_id % 5 = 0 AND p.vec_id % 5 <> 0"
+PAIRS = f"SELECT q.vec_id AS qid, p.vec_id AS rid, {DOT} AS score FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id"
 
 
-def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Queries are the vectors with an id divisible by five, the corpus is the rest."""
+def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Queries are the vectors with an id divisible by a hundred, the corpus is all vectors; none meets itself."""
     rows = load(spark, sf, "embeddings")
-    return rows.filter("vec_id % 5 = 0"), rows.filter("vec_id % 5 <> 0")
+    return rows.filter("vec_id % 100 = 0"), rows
 
 
 @query("nearest_neighbour", f"SELECT qid, ROUND(MAX(score), 9) AS score FROM ({PAIRS}) t GROUP BY qid", True)
 def nearest_neighbour(spark: SparkSession, sf: str) -> DataFrame:
-    q, p = halves(spark, sf)
-    return L.nearest_neighbour(q, p, "vec_id", "vec_id").withColumn("score", F.round("score", 9))
+    q, p = sides(spark, sf)
+    return L.nearest_neighbour(q, p, "vec_id", "vec_id", others=True).withColumn("score", F.round("score", 9))
 
 
 @query("reference_join_argmax", f"SELECT qid, rid, ROUND(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) AS r FROM ({PAIRS}) t) u WHERE r = 1")
 def reference_join_argmax(spark: SparkSession, sf: str) -> DataFrame:
-    q, p = halves(spark, sf)
-    return L.reference_join(q, p, "vec_id", "vec_id").withColumn("score", F.round("score", 9))
+    q, p = sides(spark, sf)
+    return L.reference_join(q, p, "vec_id", "vec_id", others=True).withColumn("score", F.round("score", 9))
 
 
 @query("nearest_neighbour_banded", f"SELECT qid, ROUND(MAX(score), 9) AS score FROM ({PAIRS} AND q.label = p.label) t GROUP BY qid")
 def nearest_neighbour_banded(spark: SparkSession, sf: str) -> DataFrame:
-    q, p = halves(spark, sf)
-    return L.nearest_neighbour_banded(q, p, "vec_id", "label").withColumn("score", F.round("score", 9))
+    q, p = sides(spark, sf)
+    return L.nearest_neighbour_banded(q, p, "vec_id", "label", others=True).withColumn("score", F.round("score", 9))
 
 
 # ---- iterative fits ----
 
-DIMS = ["c0", "c1", "c2", "c3"]
-START = I.spread_centroids(3, 4, 0.2)
-LEAST_D = E.least(I.distances(DIMS, START))
-_D = I.distances(DIMS, START)
-CID = f"CASE WHEN {_D[0]} <= {LEAST_D} THEN 0 WHEN {_D[1]} <= {LEAST_D} THEN 1 ELSE 2 END"
+WIDTH, CLUSTERS = 64, 32
+DIMS = [f"c{i}" for i in range(WIDTH)]
+START = I.spread_centroids(CLUSTERS, WIDTH, 0.2)
 
 
-@query("kmeans_assign", f"SELECT COUNT(*) AS points, ROUND(SUM({LEAST_D}), 6) AS total FROM ({flat_sql(4)}) v", True)
-def kmeans_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return I.kmeans_assign(vector_columns(spark, sf, 4), DIMS, START).withColumn("total", F.round("total", 6))
+def listed(values: list[float]) -> str:
+    return f"[{', '.join(repr(float(x)) for x in values)}]::DOUBLE[]"
 
 
-@query("kmeans_iterate", f"SELECT {CID} AS cid, COUNT(*) AS members, {', '.join(f'ROUND(SUM({c}), 6) AS s{i}' for i, c in enumerate(DIMS))} FROM ({flat_sql(4)}) v GROUP BY 1")
-def kmeans_iterate(spark: SparkSession, sf: str) -> DataFrame:
-    found = I.kmeans_iterate(vector_columns(spark, sf, 4), DIMS, START)
-    return found.select("cid", "members", *(F.round(f"s{i}", 6).alias(f"s{i}") for i in range(4)))
+def kmeans_sql(passes: int, last: str) -> str:
+    """Chained passes over lists: a distance to each centroid, the nearest by row_number(), means with the old centroid as a default."""
+    values = ", ".join(f"({k}, {listed(c)})" for k, c in enumerate(START))
+    parts = ["v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)", f"k0(cid, m) AS (VALUES {values})"]
+    means = ", ".join(f"AVG(e[{i + 1}])" for i in range(WIDTH))
+    for p in range(passes + 1):
+        d = "list_sum(list_transform(list_zip(e, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        parts.append(f"a{p} AS (SELECT * FROM (SELECT vec_id, e, cid, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, cid) AS r FROM (SELECT vec_id, e, cid, {d} AS d FROM v, k{p}) u) t WHERE r = 1)")
+        parts.append(f"k{p + 1} AS (SELECT k{p}.cid, COALESCE(x, m) AS m FROM k{p} LEFT JOIN (SELECT cid, [{means}] AS x FROM a{p} GROUP BY cid) g ON k{p}.cid = g.cid)")
+    return f"WITH {', '.join(parts)} {last}"
+
+
+@query("kmeans_assign", kmeans_sql(0, "SELECT COUNT(*) AS points, ROUND(SUM(d), 6) AS total FROM a0"), True)
+def kmeans_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return I.kmeans_assign(vector_columns(spark, sf, WIDTH), DIMS, START).withColumn("total", F.round("total", 6))
 
 
-def kmeans_sql(passes: int) -> str:
-    """Chained passes: a distance to each centroid, the nearest by row_number(), means with the old centroid as a default."""
-    values = ", ".join(f"({k}, {', '.join(E.num(x) for x in c)})" for k, c in enumerate(START))
-    parts = [f"v AS ({flat_sql(4, 'vec_id, ')})", f"k0(cid, m0, m1, m2, m3) AS (VALUES {values})"]
-    for p in range(passes):
-        d = " + ".join(E.square(f"c{i} - m{i}") for i in range(4))
-        parts.append(f"a{p} AS (SELECT * FROM (SELECT vec_id, c0, c1, c2, c3, cid, row_number() OVER (PARTITION BY vec_id ORDER BY {d}, cid) AS r FROM v, k{p}) t WHERE r = 1)")
-        means = ", ".join(f"COALESCE(x{i}, m{i}) AS m{i}" for i in range(4))
-        inner = ", ".join(f"AVG(c{i}) AS x{i}" for i in range(4))
-        parts.append(f"k{p + 1} AS (SELECT k{p}.cid, {means} FROM k{p} LEFT JOIN (SELECT cid, {inner} FROM a{p} GROUP BY cid) g ON k{p}.cid = g.cid)")
-    return f"WITH {', '.join(parts)} SELECT cid, {', '.join(f'ROUND(m{i}, 6) AS m{i}' for i in range(4))} FROM k{passes}"
+@query("kmeans_iterate", kmeans_sql(0, f"SELECT cid, COUNT(*) AS members, {', '.join(f'ROUND(SUM(e[{i + 1}]), 6) AS s{i}' for i in range(WIDTH))} FROM a0 GROUP BY cid"))
+def kmeans_iterate(spark: SparkSession, sf: str) -> DataFrame:
+    found = I.kmeans_iterate(vector_columns(spark, sf, WIDTH), DIMS, START)
+    return found.select("cid", "members", *(F.round(f"s{i}", 6).alias(f"s{i}") for i in range(WIDTH)))
 
 
-@query("kmeans_train_3", kmeans_sql(3), True)
+@query("kmeans_train_3", kmeans_sql(2, f"SELECT cid, {', '.join(f'ROUND(m[{i + 1}], 6) AS m{i}' for i in range(WIDTH))} FROM k3"), True)
 def kmeans_train_3(spark: SparkSession, sf: str) -> DataFrame:
-    found = I.kmeans_train(vector_columns(spark, sf, 4), DIMS, START, 3)
+    found = I.kmeans_train(vector_columns(spark, sf, WIDTH), DIMS, START, 3)
     rows = [(k, *(float(x) for x in c)) for k, c in enumerate(found)]
-    return rounded(spark.createDataFrame(rows, "cid int, m0 double, m1 double, m2 double, m3 double"), 6).withColumn("cid", F.col("cid").cast("int"))
+    shape = ", ".join(["cid int", *(f"m{i} double" for i in range(WIDTH))])
+    return spark.createDataFrame(rows, shape).select("cid", *(F.round(f"m{i}", 6).alias(f"m{i}") for i in range(WIDTH)))
 
 
-LABELLED = flat_sql(4, "CAST(label % 2 AS DOUBLE) AS y, ")
+LABELLED = "SELECT embedding::DOUBLE[] AS e, CAST(label % 2 AS DOUBLE) AS y FROM embeddings"
+START_W = [0.5 - i / WIDTH for i in range(WIDTH)]
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return vector_columns(spark, sf, 4).withColumn("y", (F.col("label") % 2).cast("double"))
+    return vector_columns(spark, sf, WIDTH).withColumn("y", (F.col("label") % 2).cast("double"))
 
 
-START_W = [0.5, -0.25, 0.125, 0.0]
-RESIDUAL = I.residual(DIMS, START_W, "y")
+def logreg_sql(start: list[float], passes: int, last: str) -> str:
+    """Chained passes over lists; r0, r1, ... hold the rows with their residuals under the weights w0, w1, ..."""
+    parts = [f"v AS ({LABELLED})", f"w0(w) AS (VALUES ({listed(start)}))"]
+    for p in range(passes + 1):
+        parts.append(f"r{p} AS (SELECT e, w, 1 / (1 + EXP(-list_inner_product(e, w))) - y AS r FROM v, w{p})")
+        step = ", ".join(f"ANY_VALUE(w[{i + 1}]) - CAST(0.1 AS DOUBLE) * SUM(r * e[{i + 1}]) / COUNT(*)" for i in range(WIDTH))
+        parts.append(f"w{p + 1} AS (SELECT [{step}] AS w FROM r{p})")
+    return f"WITH {', '.join(parts)} {last}"
 
 
-@query("logreg_gradient", f"SELECT COUNT(*) AS n, {', '.join(f'ROUND(SUM({RESIDUAL} * {c}), 9) AS g{i}' for i, c in enumerate(DIMS))} FROM ({LABELLED}) v")
+@query("logreg_gradient", logreg_sql(START_W, 0, f"SELECT COUNT(*) AS n, {', '.join(f'ROUND(SUM(r * e[{i + 1}]), 9) AS g{i}' for i in range(WIDTH))} FROM r0"))
 def logreg_gradient(spark: SparkSession, sf: str) -> DataFrame:
     found = I.logistic_gradient(labelled(spark, sf), DIMS, START_W, "y")
-    return found.select("n", *(F.round(f"g{i}", 9).alias(f"g{i}") for i in range(4)))
-
+    return found.select("n", *(F.round(f"g{i}", 9).alias(f"g{i}") for i in range(WIDTH)))
 
-def logreg_sql(passes: int) -> str:
-    parts = [f"v AS ({LABELLED})", "w0(w0, w1, w2, w3) AS (VALUES (CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)))"]
-    for p in range(passes):
-        z = " + ".join(f"w{i} * c{i}" for i in range(4))
-        step = ", ".join(f"ANY_VALUE(w{i}) - CAST(0.1 AS DOUBLE) * SUM(r * c{i}) / COUNT(*) AS w{i}" for i in range(4))
-        parts.append(f"w{p + 1} AS (SELECT {step} FROM (SELECT *, {E.sigmoid(z)} - y AS r FROM v, w{p}) t)")
-    return f"WITH {', '.join(parts)} SELECT {', '.join(f'ROUND(w{i}, 9) AS w{i}' for i in range(4))} FROM w{passes}"
 
-
-@query("logreg_train_2", logreg_sql(2))
+@query("logreg_train_2", logreg_sql([0.0] * WIDTH, 1, f"SELECT {', '.join(f'ROUND(w[{i + 1}], 9) AS w{i}' for i in range(WIDTH))} FROM w2"))
 def logreg_train_2(spark: SparkSession, sf: str) -> DataFrame:
     weights = I.logistic_train(labelled(spark, sf), DIMS, "y", 2)
-    return rounded(spark.createDataFrame([tuple(weights)], "w0 double, w1 double, w2 double, w3 double"), 9)
+    return rounded(spark.createDataFrame([tuple(weights)], ", ".join(f"w{i} double" for i in range(WIDTH))), 9)
 
 
 # ---- sources and sinks ----
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh folder in the shared folder of spark.checkpoint.dir, or in a temporary one where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='numbra-')}"
-    return f"{root.rstrip('/')}/numbra-{what}-{uuid.uuid4().hex}"
-
-
 CSV_COLUMNS = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double"
 
 
 @query("csv_round_trip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch(spark, "csv")
+    path = shared_path(spark, "csv")
     rows = load(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     tables.insert_into(rows, path, "csv", files=2, sep="\u0001", quote="")
     return tables.read_csv(spark, path, CSV_COLUMNS, delimiter="\u0001", quote=False)
 
 
-@query("parquet_convert", "SELECT event_id, value FROM events WHERE event_id < 500")
+@query("parquet_convert", "SELECT event_id, value FROM events")
 def parquet_convert(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch(spark, "parquet")
+    path = shared_path(spark, "parquet")
     load(spark, sf, "events").select("event_id", "value").createOrReplaceTempView("numbra_events")
-    tables.insert_into(spark.table("numbra_events").filter("event_id < 500"), path, files=3, mode="overwrite")
+    tables.insert_into(spark.table("numbra_events"), path, files=3, mode="overwrite")
     return tables.read_parquet(spark, path, "event_id bigint, value double")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,13 +21,25 @@ class Recognition:
 
 
 #: Shape and the key of the least width from which blocks pay.
-_WIDTH = {"gram": "numbra.gram.min-width", "neighbour": "numbra.neighbour.min-width"}
+_WIDTH = {f: f"numbra.{f}.min-width" for f in ("gram", "neighbour", "kmeans", "logistic")}
+#: Functions whose last digit may differ between the JVM and NumPy (fixed list).
+DRIFTING = ("EXP", "LN", "LOG2", "POWER", "SIN", "COS", "TAN", "ASIN", "ACOS", "ATAN", "ATAN2", "TANH")
 
 
-def recognise(spark: SparkSession, shape: str, width: int) -> Recognition:
-    """Whether the block strategy takes a shape of this width under the session's settings."""
+def drifting(predicate: str) -> list[str]:
+    """The functions of a predicate (SQL text, quoted parts aside) that must not decide rows outside of the JVM."""
+    bare = re.sub(r"'(?:[^']|'')*'|`[^`]*`|\"[^\"]*\"", " ", predicate)
+    called = {x.upper() for x in re.findall(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(", bare)}
+    return sorted(called & {*DRIFTING, "POW", "LOG"})
+
+
+def recognise(spark: SparkSession, shape: str, width: int, predicate: str | None = None) -> Recognition:
+    """Whether the block strategy takes a shape of this width under the session's settings. A predicate on
+    functions that drift stays with the JVM, so that both strategies see the same rows."""
     if shape not in _WIDTH:
         return Recognition(False, f"no block form of {shape}")
+    if predicate and (found := drifting(predicate)):
+        return Recognition(False, f"the predicate depends on {', '.join(found)}")
     if setting(spark, "numbra.enabled") != "true":
         return Recognition(False, "numbra.enabled is false")
     if (asked := setting(spark, "numbra.strategy")) != "auto":

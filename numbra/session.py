@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Our keys in the Spark configuration and their defaults.
 DEFAULTS = {
     "numbra.enabled": "true",  # false: every shape stays with Catalyst
     "numbra.strategy": "auto",  # auto, catalyst or blas
     "numbra.gram.min-width": "17",
-    "numbra.neighbour.min-width": "64",
-    "numbra.broadcast.max-bytes": str(64 << 20),
-    "numbra.rows-per-batch": "65536",
+    "numbra.neighbour.min-width": "1",
+    "numbra.neighbour.max-pairs": "10000000",  # of rows, for the control arm that compares row by row
+    "numbra.kmeans.min-width": "64",  # columns times clusters
+    "numbra.logistic.min-width": "32",
+    "numbra.block.rows": "4096",  # rows of a block of vectors
 }
 
 
@@ -36,3 +41,27 @@ def build_session(app: str = "numbra", master: str | None = None, **conf: str) -
 def setting(spark: SparkSession, key: str) -> str:
     """A configuration value of ours, or its default."""
     return spark.conf.get(key, DEFAULTS[key])
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir. Where none is set, a local master gets a folder of our own;
+    on a cluster that would be a folder that other machines do not see, so it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = f"file://{tempfile.mkdtemp(prefix='numbra-')}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes df once and cuts its lineage with files in the shared folder."""
+    shared_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A fresh folder name in the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/numbra-{what}-{uuid.uuid4().hex}"

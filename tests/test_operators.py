@@ -1,5 +1,9 @@
 """Operators on the reference fixtures' shapes, and strategies against each other."""
 
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,10 +56,20 @@ def test_running_total(spark):
     assert [r.running for r in R.running_total(odd, "v", "o").orderBy("o").collect()] == [None, 3.0, 3.0, 4.0]
 
 
+    more = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, F.col("id")).cast("decimal(9,2)").alias("d"), F.col("id").cast("int").alias("i"))
+    got = R.running_total(R.running_total(more, "d", "id"), "i", "id", name="sum_i").orderBy("id").collect()
+    assert [int(r.running) for r in got] == list(np.cumsum([i if i % 3 == 0 else 0 for i in range(1000)])) and got[-1].sum_i == 499500
+    both = R.running_total(frame, "value", "ordinal").unionByName(R.running_total(frame, "value", "ordinal"))
+    assert both.groupBy("ordinal").agg(F.countDistinct("running").alias("n")).filter("n <> 1").count() == 0
+    with pytest.raises(ValueError):
+        R.running_total(frame.withColumnRenamed("tag", "_range"), "value", "ordinal")
+
+
 def test_running_total_is_not_one_task(spark):
     frame = spark.range(1000).select("id", F.lit(1.0).alias("v"))
-    plan = strategy.explain(R.running_total(frame, "v", "id"))
-    assert "hashpartitioning(_range" in plan
+    out = R.running_total(frame, "v", "id")
+    assert "SinglePartition" not in strategy.explain(out)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
 
 
 @pytest.mark.parametrize("d", [1, 8, 16])
@@ -82,11 +96,18 @@ def test_reference_join_strategies_agree(spark):
     r = vectors(spark, list(enumerate(refs)))
     found = [sorted((x.qid, x.rid) for x in L.reference_join(q, r, "id", "id", strategy=s).collect()) for s in ("catalyst", "blas")]
     assert found[0] == found[1] and not any(rid == 7 for _, rid in found[0])
-    spark.conf.set("numbra.broadcast.max-bytes", "10000")
-    try:
+    others = [sorted((x.qid, x.rid) for x in L.reference_join(r, r, "id", "id", strategy=s, others=True).collect()) for s in ("catalyst", "blas")]
+    assert others[0] == others[1] and len(others[0]) == 90 and (3, 7) in others[0] and all(a != b for a, b in others[0])
+    for key, value in (("numbra.block.rows", "7"), ("numbra.neighbour.max-pairs", "100")):
+        spark.conf.set(key, value)
         assert sorted((x.qid, x.rid) for x in L.reference_join(q, r, "id", "id", strategy="blas").collect()) == found[0]
-    finally:
-        spark.conf.unset("numbra.broadcast.max-bytes")
+    with pytest.raises(ValueError):
+        L.reference_join(q, r, "id", "id", strategy="catalyst")
+    spark.conf.unset("numbra.neighbour.max-pairs")
+    spark.conf.unset("numbra.block.rows")
+    band = lambda f: f.withColumn("band", F.when(F.col("id") % 4 > 0, F.concat(F.lit("b"), (F.col("id") % 4).cast("string"))))
+    banded = [sorted((x.qid, x.rid) for x in L.reference_join(band(q), band(r), "id", "id", strategy=s, band="band").collect()) for s in ("catalyst", "blas")]
+    assert banded[0] == banded[1] and len(banded[0]) == 45 and all(a % 4 == b % 4 for a, b in banded[0])
     assert L.reference_join(q, r.filter("false"), "id", "id").count() == 0
     assert L.nearest_neighbour(q, r, "id", "id").columns == ["qid", "score"]
 
@@ -101,26 +122,32 @@ def test_recognisers_say_why(spark):
     assert strategy.choose(spark, "gram", 64) == "blas"
     with pytest.raises(ValueError):
         strategy.choose(spark, "gram", 64, "gpu")
-    assert not L.recognise_gram(["a"]).ok and not L.recognise_gram(["a"] * 9, nullable=True).ok and L.recognise_gram(["a"] * 8).ok
+    guarded = strategy.recognise(spark, "gram", 64, "SIN(x) > 0.5 AND name <> 'COS(y)' OR power (a, 2) < 1")
+    assert not guarded.ok and guarded.reason == "the predicate depends on POWER, SIN"
+    assert strategy.recognise(spark, "gram", 64, "ABS(x) > 0.5 AND SQRT(x) < 3 AND s = 'SIN(x)'").ok
     assert "== Strategy ==\ngram: blas" in strategy.explain(spark.range(1), "gram", 32)
 
 
-def test_kmeans_keeps_empty_clusters_and_first_of_ties(spark):
+@pytest.mark.parametrize("how", ["catalyst", "blas"])
+def test_kmeans_keeps_empty_clusters_and_first_of_ties(spark, how):
     frame = spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "c0 double")
     start = [[0.0], [2.0], [50.0]]
-    assert I.kmeans_train(frame, ["c0"], start, 1) == [[0.5], [2.0], [50.0]]
-    assert I.kmeans_train(frame.filter("false"), ["c0"], start, 2) == start
+    assert I.kmeans_train(frame, ["c0"], start, 1, how) == [[0.5], [2.0], [50.0]]
+    assert I.kmeans_train(frame.filter("false"), ["c0"], start, 2, how) == start
+    assert I.kmeans_assign(frame, ["c0"], start, how).first() == (3, 1.0)
+    assert I.kmeans_assign(frame.filter("false"), ["c0"], start, how).first() == (0, None)
 
 
-def test_logistic_regression_equals_numpy(spark):
+@pytest.mark.parametrize("how", ["catalyst", "blas"])
+def test_logistic_regression_equals_numpy(spark, how):
     rng = np.random.default_rng(4)
     x, y = rng.uniform(-1, 1, (500, 3)), rng.uniform(0, 1, 500)
     frame = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y double")
     w = np.zeros(3)
     for _ in range(5):
         w -= 0.1 / 500 * (x.T @ (1 / (1 + np.exp(-(x @ w))) - y))
-    assert np.allclose(I.logistic_train(frame, ["a", "b", "c"], "y", 5), w, atol=1e-12)
-    assert I.logistic_train(frame.filter("false"), ["a", "b", "c"], "y", 2) == [0.0] * 3
+    assert np.allclose(I.logistic_train(frame, ["a", "b", "c"], "y", 5, strategy=how), w, atol=1e-12)
+    assert I.logistic_train(frame.filter("false"), ["a", "b", "c"], "y", 2, strategy=how) == [0.0] * 3
 
 
 def test_triage_note(spark):
@@ -132,6 +159,39 @@ def test_triage_note(spark):
     assert TR.prompt(["a"]).startswith("You are a maintenance engineer.") and "\n- a\n" not in TR.INTRO
 
 
+def test_server_engine_and_close(monkeypatch):
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.answer({"status": "ok"})
+
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.answer({"content": "look at 7", "tokens_evaluated": 5, "tokens_predicted": 3, "timings": {"prompt_ms": 2, "predicted_ms": 4}})
+
+        def answer(self, what):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(what).encode())
+
+        def log_message(self, *args):
+            pass
+
+    asked, closed = [], []
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setattr(TR.atexit, "register", closed.append)
+    try:
+        make = lambda: TR.PromptServerEngine(f"http://127.0.0.1:{server.server_port}")
+        engine, reused, _ = TR.resident(make)
+        c = engine.generate("who?", 9)
+        assert (c.text, c.prompt_tokens, c.generated_tokens, c.prefill_ns, c.decode_ns) == ("look at 7", 5, 3, 2_000_000, 4_000_000)
+        assert asked == [{"prompt": "who?", "n_predict": 9, "temperature": 0}] and not reused
+        assert TR.resident(make)[1] and closed == [engine.close]
+        assert "generated_tokens=3 prefill_ms=2.0 decode_ms=4.0" in TR.report(engine, True, 0, 4, c)
+    finally:
+        server.shutdown()
+
+
 def test_generators_repeat(spark):
     assert FP.canonical_rows(datagen.readings(spark, 200)) == FP.canonical_rows(datagen.readings(spark, 200).repartition(5))
     assert datagen.points(spark, 1000).filter("lat < -90 OR lat >= 90 OR lon < -180 OR lon >= 180").count() == 0
