@@ -1,42 +1,21 @@
-"""Shared pieces of the text operators: word splitting on Arrow columns, stable 64-bit word ids,
-the shared checkpoint folder and small helpers for mapInArrow functions."""
+"""Shared pieces of the text operators: word splitting on Arrow columns, stable 64-bit word ids
+and small helpers for mapInArrow functions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that a task handles at once.
-SLICE_BYTES = 8 << 20
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='numbra-checkpoint-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+from numbra.session import cut, shared_path
 
+__all__ = ["SLICE_BYTES", "Words", "cut", "mix", "ranges", "shared_path", "slices", "strings"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage with files in the shared folder."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh folder name in the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/numbra-{what}-{uuid.uuid4().hex}"
+#: Bytes of text that a task handles at once.
+SLICE_BYTES = 8 << 20
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

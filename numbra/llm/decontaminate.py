@@ -1,29 +1,31 @@
 """Benchmark decontamination with spaced seeds.
 
 A seed hashes the words under the ones of a fixed mask and ignores those under its zeros, so it survives a
-substituted word. Seeds of the benchmark are joined with seeds at every position of every document; each
-hit fixes how the two texts lie against each other, and that overlap is then compared word by word.
+substituted word. A scan keeps the seeds of each document that a filter of the benchmark's seeds lets pass;
+they are hash-joined with the benchmark's seeds; and every document that meets an item in that join is laid
+against it wherever seeds agree and compared word by word.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from numbra.llm.common import Words, mix, ranges, slices
+from numbra.llm.common import Words, cut, mix, slices
 
-#: Five words each; 1: compared, 0: ignored.
+#: Five words each; 1: compared, 0: ignored. Any 8 to 20 words of which 80 % agree have a seed of these in common
+#: (tests enumerate them), so items of SHORT words or more are found with substitutions, shorter ones as they are.
 MASKS = ("110111", "1110011", "11010101")
-#: Benchmark words that one executor-side index holds; a larger benchmark is taken in blocks of about this size.
-BLOCK_WORDS = 2_000_000
-_FILTER_BITS = 22
+SHORT = 8
+#: The filter has three bits for each seed in at least 2 ** LEAST_BITS and at most 2 ** MOST_BITS bits (16 MB); a
+#: benchmark beyond that only lets more seeds into the join.
+LEAST_BITS, MOST_BITS, PROBES = 20, 27, 3
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -36,102 +38,156 @@ def _plain(words: Words) -> np.ndarray:
     return table[words.codes] if len(values) else np.empty(0, np.uint64)
 
 
-def _seeds(ids: np.ndarray, mask: str, number: int) -> np.ndarray:
+def _seeds(ids: np.ndarray, mask: str) -> np.ndarray:
     """The seed at each position where the mask fits, over one run of ids."""
     n = len(ids) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.full(n, np.uint64(number + 1) * _ODD[63], np.uint64)
+    total = np.full(n, np.uint64(xxhash.xxh64_intdigest(mask)), np.uint64)
     for k, c in enumerate(mask):
         if c == "1":
-            total += ids[k : k + n] * _ODD[k]
+            total += ids[k : k + n] * _ODD[k % 64]
     return mix(total)
 
 
-class SeedIndex:
-    """Seeds of benchmark items and the items' words. Items of fewer than five words are no evidence."""
-
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...], min_words: int):
-        words = Words(pa.array([t for _, t in items], pa.large_string()))
-        self.words, self.starts = _plain(words), words.offsets
-        self.names, self.masks = [i for i, _ in items], list(masks)
-        lengths = np.diff(self.starts)
-        shortest = min(len(m) for m in masks)
-        self.masks += ["1" * int(n) for n in np.unique(lengths) if 5 <= n < shortest]
-        hashes, at, item = [], [], []
-        for k, mask in enumerate(self.masks):
-            for i, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
-                if (k < len(masks)) if b - a >= shortest else (len(mask) == b - a):
-                    h = _seeds(self.words[a:b], mask, k)
-                    hashes.append(h)
-                    at.append(np.arange(len(h)))
-                    item.append(np.full(len(h), i))
-        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        h, at, item = join(hashes, np.uint64), join(at, np.int64), join(item, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.at, self.item = h[order], at[order], item[order]
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[(h & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-        self.need = np.minimum(lengths, min_words)
-
-    def find(self, ids: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
-        """(document, item, most matching words of an overlap), each pair once, sorted."""
-        doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        best: dict[tuple[int, int], int] = {}
-        for k, mask in enumerate(self.masks):
-            for low in range(0, len(ids), 1 << 20):
-                run = ids[low : low + (1 << 20) + len(mask) - 1]
-                h = _seeds(run, mask, k)
-                pos = np.flatnonzero(self.filter[(h & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
-                left = np.searchsorted(self.hashes, h[pos])
-                count = np.searchsorted(self.hashes, h[pos], side="right") - left
-                pos, left, count = pos[count > 0], left[count > 0], count[count > 0]
-                for i in range(0, len(pos), 1 << 12):
-                    sl = slice(i, i + (1 << 12))
-                    entry = ranges(left[sl], count[sl])
-                    where = np.repeat(pos[sl], count[sl]) + low
-                    doc = doc_of[where]
-                    inside = where + len(mask) <= offsets[doc + 1]
-                    item, diagonal = self.item[entry], where - self.at[entry]
-                    for d, t, g in set(zip(doc[inside].tolist(), item[inside].tolist(), diagonal[inside].tolist(), strict=True)):
-                        if (m := self._overlap(ids, int(offsets[d]), int(offsets[d + 1]), t, g, percent)) > best.get((d, t), 0):
-                            best[d, t] = m
-        return sorted((d, t, m) for (d, t), m in best.items())
-
-    def _overlap(self, ids: np.ndarray, first: int, last: int, item: int, at: int, percent: int) -> int:
-        """Matching words where the texts overlap, if `need` or more words in a row match to `percent`; else 0."""
-        a, b = int(self.starts[item]), int(self.starts[item + 1])
-        skip, stop = max(0, first - at), min(b - a, last - at)
-        need = int(self.need[item])
-        if stop - skip < need:
-            return 0
-        same = self.words[a + skip : a + stop] == ids[at + skip : at + stop]
-        gain = np.concatenate([[0], np.cumsum(np.where(same, 100 - percent, -percent))])
-        lowest = np.minimum.accumulate(gain)
-        return int(same.sum()) if (gain[need:] >= lowest[: len(gain) - need]).any() else 0
-
-
-@functools.lru_cache(maxsize=2)
-def _index(key: int, items: tuple, masks: tuple[str, ...], min_words: int) -> SeedIndex:
-    return SeedIndex(list(items), masks, min_words)
-
-
-def _marker(block, masks: tuple[str, ...], min_words: int, percent: int, text: str, found: str, first: bool, keep: list[str] | None) -> Callable:
+def _masks_of(length: int, masks: tuple[str, ...]) -> tuple[str, ...]:
+    """The masks of an item of so many words: a short one is one seed of all its words."""
+    return masks if length >= SHORT else ("1" * length,) if length else ()
+
+
+def _item_seeds(masks: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(block.value[0], block.value[1], masks, min_words)
         for batch in batches:
-            for part in slices(batch, text):
-                words = Words(part.column(text))
-                lists = [[] for _ in range(part.num_rows)] if first else part.column(found).to_pylist()
-                for d, t, m in index.find(_plain(words), words.offsets, percent):
-                    lists[d].append({"item_id": index.names[t], "matched": m})
-                names = [x for x in (keep or part.schema.names) if x != found]
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("matched", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(lists, kind)], [*names, found])
+            for part in slices(batch, "t"):
+                words = Words(part.column("t"))
+                ids, items = _plain(words), part.column("item").to_pylist()
+                for item, a, b in zip(items, words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True):
+                    found = [_seeds(ids[a:b], m) for m in _masks_of(b - a, masks)]
+                    h = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), item)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), b - a, np.int32))], ["item", "h", "n"])
 
     return run
 
 
+def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(h >> np.uint64(64 - bits)) if k == 0 else mix(h ^ _ODD[k]) >> np.uint64(64 - bits) for k in range(PROBES)]
+
+
+def _filter_words(bits: int) -> Callable:
+    """Rows (at, word) with one set bit each of the 64-bit words of the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(np.concatenate(_slots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], ["at", "word"])
+
+    return run
+
+
+def _scan(held, bits: int, masks: tuple[str, ...]) -> Callable:
+    """The texts that have seeds which the filter lets pass, with those seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                words = Words(part.column("_text"))
+                ids, offsets = _plain(words), words.offsets
+                doc_of = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                doc, seed = [], []
+                for mask in masks:
+                    for low in range(0, len(ids), 1 << 20):
+                        h = _seeds(ids[low : low + (1 << 20) + len(mask) - 1], mask)
+                        at = np.arange(len(h))
+                        for k in range(PROBES):  # most positions end at the first probe
+                            slot = (h[at] >> np.uint64(64 - bits)) if k == 0 else mix(h[at] ^ _ODD[k]) >> np.uint64(64 - bits)
+                            at = at[(table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                        at = at[doc_of[at + low] == doc_of[at + low + len(mask) - 1]]
+                        doc.append(doc_of[at + low])
+                        seed.append(h[at])
+                doc, seed = (np.concatenate(doc), np.concatenate(seed)) if doc else (np.empty(0, np.int64), np.empty(0, np.uint64))
+                if not len(doc):
+                    continue
+                order = np.lexsort((seed, doc))
+                doc, seed = doc[order], seed[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (seed[1:] != seed[:-1])
+                doc, seed = doc[new], seed[new]
+                rows, starts = np.unique(doc, return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array([*starts, len(doc)], pa.int32()), pa.array(seed.view(np.int64)))
+                kept = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*kept.columns, lists], [*kept.schema.names, "seeds"])
+
+    return run
+
+
+class Laid:
+    """A document against which items are laid."""
+
+    def __init__(self, ids: np.ndarray, masks: tuple[str, ...]):
+        self.ids, self.masks, self.sorted = ids, masks, {}
+
+    def seeds(self, mask: str) -> tuple[np.ndarray, np.ndarray]:
+        if mask not in self.sorted:
+            h = _seeds(self.ids, mask)
+            order = np.argsort(h, kind="stable")
+            self.sorted[mask] = h[order], order
+        return self.sorted[mask]
+
+    def matched(self, item: np.ndarray, min_words: int, percent: int) -> int:
+        """The most matching words of an overlap in which a seed agrees and `min_words` words in a row (all of a
+        shorter item) match to `percent`, an item below SHORT words wholly; 0 for none."""
+        n = len(item)
+        need, percent = min(n, min_words), percent if n >= SHORT else 100
+        there = np.zeros(len(self.ids) + n + 1, bool)  # places of the item's first word, moved by n
+        for mask in _masks_of(n, self.masks):
+            h, at = self.seeds(mask)
+            own = _seeds(item, mask)
+            left = np.searchsorted(h, own)
+            count = np.searchsorted(h, own, side="right") - left
+            for i in np.flatnonzero(count).tolist():
+                there[at[left[i] : left[i] + count[i]] - i + n] = True
+        best = 0
+        for place in (np.flatnonzero(there) - n).tolist():
+            skip, stop = max(0, -place), min(n, len(self.ids) - place)
+            if stop - skip < max(need, best):
+                continue
+            same = item[skip:stop] == self.ids[place + skip : place + stop]
+            if (total := int(same.sum())) > best:
+                gain = np.concatenate([[0], np.cumsum(np.where(same, 100 - percent, -percent))])
+                if (gain[need:] >= np.minimum.accumulate(gain)[: len(gain) - need]).any():
+                    best = total
+        return best
+
+
+def _verify(masks: tuple[str, ...], min_words: int, percent: int) -> Callable:
+    """Rows come sorted: a document, then the items that it met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        laid, key = None, None
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                texts, items = (Words(part.column(c)) for c in ("_text", "t"))
+                of_texts, of_items = _plain(texts), _plain(items)
+                columns = [part.column(c).to_pylist() for c in ("_k1", "_k2", "item")]
+                out = []
+                for i, (k1, k2, item) in enumerate(zip(*columns, strict=True)):
+                    if item is None:
+                        laid, key = Laid(of_texts[texts.offsets[i] : texts.offsets[i + 1]].copy(), masks), (k1, k2)
+                    elif key == (k1, k2) and (m := laid.matched(of_items[items.offsets[i] : items.offsets[i + 1]], min_words, percent)):
+                        out.append((k1, k2, item, m))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["_k1", "_k2", "item", "matched"])
+
+    return run
+
+
+def _keys(text: Column) -> list[Column]:
+    """128 bits that name a text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit("second"), text).alias("_k2")]
+
+
 def mark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -142,38 +198,50 @@ def mark(
     min_words: int = 13,
     percent: int = 80,
     masks: tuple[str, ...] = MASKS,
-    block_words: int = BLOCK_WORDS,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Adds to every row the benchmark items its text holds, as array<struct<item_id, matched>>.
+    """Adds to every row the benchmark items its text holds, as array<struct<item_id, matched>>, sorted.
 
     A document holds an item if, laid against each other without gaps, at least `min_words` words in a row
-    (all of a shorter item) match to `percent` or more, and one seed under a mask is equal. Words are
-    compared in lower case without punctuation. Items of fewer than five words, null or empty texts and null
-    items are never found. Repeated items of one id are found once, items of equal texts each. Rows keep all
-    their columns (or those of `keep`); no row is dropped, an empty table stays empty. `found` must not be
-    one of the columns. A benchmark of more than `block_words` words is taken block by block, each block
-    over the rows that the one before has marked; blocks have an even share of the items by hash.
+    (all of a shorter item) match to `percent` or more, and one seed under a mask is equal; an item of fewer
+    than eight words, down to one, must stand there word for word. Words are compared in lower case without
+    punctuation. Null or empty item texts and null items are never found. Repeated items of one id are found
+    once, items of equal texts each. Rows keep all their columns (or those of `keep`); no row is dropped, an
+    empty table stays empty, an empty benchmark marks nothing. `found`, _k1 and _k2 must not be columns.
+
+    The scan broadcasts a filter of at most 16 MB, whatever the size of the benchmark.
     """
-    if found in docs.columns:
-        raise ValueError(f"{found} is a column already")
+    if clash := {found, "_k1", "_k2"} & set(docs.columns):
+        raise ValueError(f"columns are called {clash}")
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).dropna().distinct()
-    size = items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-size // block_words))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep is None or f.name in keep)
-    shape += f", `{found}` array<struct<item_id: bigint, matched: bigint>>"
-    out = docs
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = tuple(sorted((r["i"], r["t"]) for r in part.collect()))  # about block_words words, by the count above
-        block = spark.sparkContext.broadcast((xxhash.xxh64_intdigest(repr(rows)), rows))
-        names = None if k < blocks - 1 else keep
-        kind = shape if k == blocks - 1 or keep is None else ", ".join(
-            [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{found}` array<struct<item_id: bigint, matched: bigint>>"]
-        )
-        out = out.mapInArrow(_marker(block, masks, min_words, percent, text_col, found, k == 0, names), kind)
-    return out
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("t")).dropna().distinct()
+    items = cut(items.withColumn("item", F.xxhash64("t")))
+    texts = items.select("item", "t").dropDuplicates(["item"])
+    seeds = cut(texts.mapInArrow(_item_seeds(masks), "item long, h long, n int"))
+    total = seeds.count()
+    short = [r["n"] for r in seeds.filter(F.col("n") < SHORT).select("n").distinct().collect()]  # seven lengths at most
+    bits = min(MOST_BITS, max(LEAST_BITS, (total * 64).bit_length()))
+    words = seeds.select("h").mapInArrow(_filter_words(bits), "at long, word long").groupBy("at").agg(F.expr("bit_or(word)").alias("word")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
+    held = spark.sparkContext.broadcast(table)
+    used = (*(masks if total else ()), *("1" * n for n in sorted(short)))
+    rows = docs.select(*_keys(F.col(text_col)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    hits = cut(rows.mapInArrow(_scan(held, bits, used), "_k1 long, _k2 long, _text string, seeds array<long>"))
+    pairs = hits.select("_k1", "_k2", F.explode("seeds").alias("h")).join(seeds.select("item", "h"), "h").select("_k1", "_k2", "item").distinct()
+    pairs = cut(pairs)
+    met = hits.select("_k1", "_k2", "_text").join(pairs.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    laid = met.select("_k1", "_k2", "_text", F.lit(None).cast("long").alias("item"), F.lit(None).cast("string").alias("t"))
+    laid = laid.unionByName(pairs.join(texts, "item").select("_k1", "_k2", F.lit(None).cast("string").alias("_text"), "item", "t"))
+    # nulls come first, so a document comes before its items; it is one task's longest group
+    laid = laid.repartition("_k1", "_k2").sortWithinPartitions("_k1", "_k2", F.asc_nulls_first("item"))
+    verified = laid.mapInArrow(_verify(masks, min_words, percent), "_k1 long, _k2 long, item long, matched long")
+    one = F.struct("item_id", "matched")
+    # cut, so that Spark can split the rows of a hot text
+    lists = cut(verified.join(items.select("item", "item_id"), "item").groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set(one)).alias(found)))
+    kept = docs.select(*(keep or docs.columns), *_keys(F.col(text_col)))
+    out = kept.join(lists, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    return out.withColumn(found, F.coalesce(found, F.array().cast("array<struct<item_id:bigint,matched:bigint>>")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

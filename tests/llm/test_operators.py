@@ -5,6 +5,7 @@ import json
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from numbra.llm import queries
 from numbra.llm.chat import levels, link_tool_calls
 from numbra.llm.components import components
-from numbra.llm.decontaminate import decontaminate, mark
+from numbra.llm.decontaminate import MASKS, decontaminate, mark
 from numbra.llm.exact_dedup import PatriciaTrie, exact_dedup, keep_distinct
 from numbra.llm.packing import Encoder, pack_documents, sum_of_squares
 from numbra.llm.pii import bootstrap, find_pii
@@ -229,14 +230,56 @@ def test_decontaminate(spark):
     texts = [None, "", item.upper() + ".", f"lead in {swapped} and out", f"x {half} y", " ".join(words[:9]), " ".join(words[::2]), "s1 s2 s3 s4 s5 s6", "q w e", LONG]
     bench = spark.createDataFrame([(1, item, 9), (1, item, 9), (2, "s1 s2 s3 s4 s5 s6", 9), (3, "q w e", 9), (4, None, 9), (None, item, 9), (5, "", 9)], "item_id long, text string, doc_id int")
     docs = documents(spark, [*texts, item], [*range(len(texts)), None])
-    for block in (1 << 20, 20):
-        got = {r.doc_id: r.item_ids for r in decontaminate(docs, bench, block_words=block).collect()}
-        assert got == {0: "", 1: "", 2: "1", 3: "1", 4: "1", 5: "", 6: "", 7: "2", 8: "", 9: "", None: "1"}
-        assert mark(docs, bench, block_words=block).columns == [*docs.columns, "_items"]
+    got = {r.doc_id: r.item_ids for r in decontaminate(docs, bench).collect()}
+    assert got == {0: "", 1: "", 2: "1", 3: "1", 4: "1", 5: "", 6: "", 7: "2", 8: "3", 9: "", None: "1"}
+    assert mark(docs, bench).columns == [*docs.columns, "_items"]
+    same = bench.filter("item_id = 2").withColumn("item_id", F.lit(8)).unionByName(bench)
+    assert {r.item_ids for r in decontaminate(docs.filter("doc_id = 7"), same).collect()} == {"2,8"}
+    with pytest.raises(ValueError):
+        mark(docs.withColumnRenamed("rows", "_k1"), bench)
     assert decontaminate(docs, bench.filter("false")).filter("contaminated").count() == 0
     assert decontaminate(docs.filter("false"), bench).count() == 0
 
 
+def held_by_force(words, item, min_words=13, percent=80):
+    """Every way to lay an item against a text, by its definition alone (no seeds)."""
+    n = len(item)
+    need, percent = min(n, min_words), percent if n >= 8 else 100
+    for place in range(-n + 1, len(words)):
+        skip, stop = max(0, -place), min(n, len(words) - place)
+        same = [item[k] == words[place + k] for k in range(skip, stop)]
+        if any(100 * sum(same[a:b]) >= percent * (b - a) for a in range(len(same)) for b in range(a + need, len(same) + 1)):
+            return True
+    return False
+
+
+def test_seeds_lose_nothing():
+    """Every set of substitutions that leaves 80 % of 8 to 16 words leaves a seed whole."""
+    for n in range(8, 17):
+        places = [{o + j for j, c in enumerate(m) if c == "1"} for m in MASKS for o in range(n - len(m) + 1)]
+        for k in range(n - -(-4 * n // 5) + 1):
+            assert all(any(not p & {*gone} for p in places) for gone in combinations(range(n), k))
+
+
+def test_decontaminate_against_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(60)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 13, 14, 20, 30, 45)]
+    items[0] = ["single"]
+    items.append(["a"] * 16)
+    texts = [["a"] * 400, ["a"] * 12, ["single"]]
+    for item in items:
+        for k in range(12):
+            copy = [w if rng.random() > 0.05 * (k % 6) else "zz" for w in item]
+            cut_ = copy[rng.randrange(3) if k % 4 == 3 else 0 :]
+            texts.append([rng.choice(vocabulary) for _ in range(rng.randrange(15))] + cut_ + [rng.choice(vocabulary) for _ in range(rng.randrange(15))])
+    docs = documents(spark, [" ".join(t) for t in texts])
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate(docs, bench).collect()}
+    expected = {d: ",".join(str(k) for k, item in enumerate(items) if held_by_force(t, item)) for d, t in enumerate(texts)}
+    assert got == expected and sum(map(bool, got.values())) > 100
+
+
 def force(pattern, text, ok=lambda m: True):
     return [(m.start(), m.end()) for m in re.finditer(pattern, text) if ok(m)]
 
