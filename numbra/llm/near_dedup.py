@@ -1,9 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""The near-copy stage of the SimHash operator: similarity of word shingles, verified.
 
-Candidates share all least values of a band of min-wise hashes. Each candidate link is verified on the whole
-sets of shingles: first every text of a bucket against the bucket's least one, then, in one task for each bucket,
-all pairs that these links left in different components. Groups of true near copies thus cost one comparison for each text,
-and a link that only two others of a bucket have is still found.
+Candidates come from the generalised pigeonhole search of numbra.llm.simhash over fingerprints of five-word
+shingles: groups of texts whose fingerprints link. Each group is then verified on the whole sets of shingles:
+first every text against the group's least one, then, in one task for each group, all pairs that these links
+left in different components. Groups of true near copies thus cost one comparison for each text, and a link
+that only two others of a group have is still found.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 from numbra.llm.common import Words, cut, mix, ranges, slices, strings
 from numbra.llm.components import components, local_forest
+from numbra.llm.simhash import links
 
-#: Bands and min-wise hashes of each: a pair with similarity s shares a bucket with probability 1 - (1 - s^5)^25, 0.99995 at 0.8.
-BANDS, ROWS = 25, 5
+#: Words of 64 bits of a fingerprint, bits in which two may differ and surely be met, and bits up to which a met
+#: pair is a candidate. Texts with a similarity of 0.8 differ in about 39 of 256 bits, others in 128; all within 24
+#: bits are met, and a pair at 0.8 agrees in one of the 25 parts of that plan with a probability of 0.99.
+WORDS, LIMIT, WITHIN = 4, 24, 64
 #: Words of a shingle and least similarity in percent.
 SHINGLE, LEAST = 5, 80
 #: Texts of a bucket that are held against each other in one task; a larger bucket is split into blocks.
@@ -41,24 +45,34 @@ def shingle_sets(column: pa.Array, words: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _signatures(words: int, bands: int, rows: int) -> Callable:
-    seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * _GOLD)
-    flips, factors = seeds[: bands * rows], seeds[bands * rows :] | np.uint64(1)
+def sign(h: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of `words` numbers: bit i is 1 if over half of the shingles of a text have it in their i-th hash bit."""
+    ends = np.append(starts[1:], len(h))
+    out, salts = np.zeros((len(starts), words), np.uint64), mix(np.arange(1, words + 1, dtype=np.uint64) * _GOLD)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 16), side="right")))
+        for w in range(words):
+            counts = np.zeros((stop - at, 64), np.int64)
+            # a text beyond that size comes alone and in pieces
+            for low in range(int(starts[at]), int(ends[stop - 1]), 1 << 17):
+                part = mix(h[low : min(low + (1 << 17), int(ends[stop - 1]))] ^ salts[w])
+                bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
+                counts += np.add.reduceat(bits, starts[at:stop] - starts[at] if stop - at > 1 else [0], axis=0, dtype=np.int32)
+            set_ = 2 * counts > (ends[at:stop] - starts[at:stop])[:, None]
+            out[at:stop, w] = np.packbits(set_, axis=1, bitorder="little").view("<u8")[:, 0]
+        at = stop
+    return out
+
 
+def _signatures(shingle: int, words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                sets = shingle_sets(part.column("_text"), words)
+                sets = shingle_sets(part.column("_text"), shingle)
                 sizes = np.array([len(x) for x in sets])
-                starts, h = np.cumsum(sizes) - sizes, np.concatenate(sets)
-                keys = np.empty((len(sets), bands), np.uint64)
-                for b in range(bands):
-                    key = np.full(len(sets), b, np.uint64)
-                    for i in range(b * rows, b * rows + rows):
-                        key = mix(key * _GOLD + np.minimum.reduceat((h ^ flips[i]) * factors[i], starts))
-                    keys[:, b] = key
-                lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands, pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("_node"), pa.array(sizes, pa.int64()), lists], ["node", "size", "keys"])
+                found = sign(np.concatenate(sets), np.cumsum(sizes) - sizes, words)
+                yield pa.RecordBatch.from_arrays([part.column("_node"), *(pa.array(found[:, w].view(np.int64)) for w in range(words))], ["node", *(f"w{w}" for w in range(words))])
 
     return run
 
@@ -125,8 +139,8 @@ def _across(words: int, least: int) -> Callable:
     return run
 
 
-def near_links(texts: DataFrame, words: int = SHINGLE, least: int = LEAST, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified links that connect what all similar pairs with a common bucket connect.
+def near_links(texts: DataFrame, words: int = SHINGLE, least: int = LEAST, limit: int = LIMIT, within: int = WITHIN, block: int = BLOCK) -> DataFrame:
+    """(a, b): verified links that connect what all similar pairs that the search meets connect.
 
     `texts` has rows of _node long and _text string; equal texts have equal nodes and may repeat.
     """
@@ -137,22 +151,21 @@ def near_links(texts: DataFrame, words: int = SHINGLE, least: int = LEAST, bands
         both = both.join(whole.select(F.col("_node").alias("a"), F.col("_text").alias("_ta")), "a")
         return cut(both.select("a", "b", "_ta", "_tb").mapInArrow(_similar(words, least), "a long, b long"))
 
-    signed = texts.select("_node", "_text").mapInArrow(_signatures(words, bands, rows), "node long, size long, keys array<long>")
-    signed = cut(signed.dropDuplicates(["node"])).select("node", "size", F.explode("keys").alias("key"))
-    shared = signed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    # only texts with a common bucket from here on
-    held = cut(signed.join(shared.select("key", "first"), "key"))
-    whole = texts.join(held.select(F.col("node").alias("_node")).distinct(), "_node", "left_semi")
+    shape = "node long, " + ", ".join(f"w{w} long" for w in range(WORDS))
+    prints = cut(texts.select("_node", "_text").mapInArrow(_signatures(words, WORDS), shape).dropDuplicates(["node"]))
+    groups = components(links(prints, limit, WORDS, within))
+    # the root is the least node of a group
+    held = cut(groups.select(F.col("root").alias("key"), "node").unionByName(groups.select(F.col("root").alias("key"), F.col("root").alias("node")).distinct()))
+    # only texts of groups from here on
+    whole = texts.join(held.select(F.col("node").alias("_node")), "_node", "left_semi")
     whole = cut(whole.select("_node", "_text").dropDuplicates(["_node"]))
-    # else not similar by size alone
-    fits = F.least("size", "first.size") * 100 >= F.greatest("size", "first.size") * least
-    stars = held.filter((F.col("node") != F.col("first.node")) & fits)
-    stars = verified(stars.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
+    stars = verified(held.filter("node <> key").select(F.col("key").alias("a"), F.col("node").alias("b")))
     found = components(stars)
-    rooted = held.select("key", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # buckets that the stars did not connect; a large one is dealt to cells i * blocks + j (i <= j) for blocks i and j
+    rooted = held.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # groups that the stars did not connect; a large one is dealt to cells i * blocks + j (i <= j) for blocks i and j
     open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    rooted = rooted.join(open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
+    open_ = cut(open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    rooted = rooted.join(open_, "key")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
     rooted = rooted.select("key", F.explode(cells).alias("cell"), "node", "root").join(whole, F.col("node") == F.col("_node"))
@@ -165,8 +178,11 @@ def keep_near_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Texts link when at least `least` percent of their distinct shingles of `words` words are common (A-Z in lower
     case). Null and blank texts are copies of each other. Rows that repeat the smallest id stay together, and so do
-    rows of a component without any id. No column of docs may be called _keep_id.
+    rows of a component without any id. No column of docs may be called _keep_id. Other columns are kept as they are;
+    an empty table stays empty.
     """
+    if "_keep_id" in docs.columns:
+        raise ValueError("_keep_id is a column already")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     rows = rows.select("_id", F.xxhash64("_text").alias("_node"), "_text")
     owners = cut(rows.groupBy("_node").agg(F.min("_id").alias("_low")))

@@ -1,10 +1,10 @@
 """SimHash fingerprints and their links by the generalised pigeonhole principle.
 
-Bits that go together are grouped into parts. If two fingerprints differ in at most `limit` bits, then for
+A fingerprint has one or several words of 64 bits. Bits that go together are grouped into parts. If two fingerprints differ in at most `limit` bits, then for
 part thresholds with sum limit - parts + 1 they differ by no more than its threshold in at least one part.
 The thresholds come from dynamic programming on candidate counts that are estimated from the bit statistics
 of all fingerprints, and so does the number of parts. Each fingerprint probes the values within a part's
-threshold, candidates are verified on all 64 bits, and a task returns a spanning forest of the links it
+threshold, candidates are verified on all bits, and a task returns a spanning forest of the links it
 found, never all pairs of a group.
 """
 
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numbra.llm.common import cut, slices
+from numbra.llm.common import cut, mix, slices
 from numbra.llm.components import components, local_forest
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -64,40 +64,60 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints(words, seed), "_id long, _fp long")
 
 
-def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, rows = np.zeros((64, 64)), 0
+def _packed(batch: pa.RecordBatch, words: int, first: int = 1) -> np.ndarray:
+    """Fingerprints as rows of `words` unsigned numbers."""
+    return np.column_stack([batch.column(first + i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(words)])
+
+
+def _bit_counts(words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((64 * words, 64 * words)), 0
+        for batch in batches:
+            prints = np.ascontiguousarray(_packed(batch, words))
+            for i in range(0, len(prints), 1 << 14):
+                part = prints[i : i + (1 << 14)]
+                bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+                total += bits.T @ bits
+                rows += len(part)
+        yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["n", "joint"])
+
+    return run
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, total = 0, None
     for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for i in range(0, len(fp), 1 << 16):
-            part = fp[i : i + (1 << 16)]
-            bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").astype(np.float32)
-            total += bits.T @ bits
-            rows += len(part)
-    yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["n", "joint"])
+        for i in range(batch.num_rows):
+            rows += batch.column(0)[i].as_py()
+            x = batch.column(1)[i].values.to_numpy()
+            total = x.copy() if total is None else total + x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total], pa.list_(pa.float64()))], ["n", "joint"])
 
 
-def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and the 64 x 64 counts of bits set together, over all rows of one long column."""
-    parts = prints.mapInArrow(_bit_counts, "n long, joint array<double>")
-    rows = parts.select("n", F.posexplode("joint").alias("k", "x")).groupBy("k").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
-    joint = np.zeros(64 * 64)
-    for r in rows:
-        joint[r["k"]] = r["x"]
-    return (int(rows[0]["n"]) if rows else 0), joint.reshape(64, 64)
+def bit_statistics(prints: DataFrame, words: int = 1) -> tuple[int, np.ndarray]:
+    """Number of fingerprints and the square counts of bits set together, over all rows of (node, w0, w1, ...)."""
+    shape = "n long, joint array<double>"
+    # one small matrix for each task; eight tasks add them up, eight matrices come to the driver
+    parts = prints.mapInArrow(_bit_counts(words), shape).repartition(8).mapInArrow(_add_counts, shape).toArrow()
+    n, size = sum(parts.column("n").to_pylist()), 64 * words
+    return n, sum((x.values.to_numpy() for c in parts.column("joint").chunks for x in c), np.zeros(size * size)).reshape(size, size)
 
 
 def group_bits(n: int, joint: np.ndarray, parts: int) -> list[list[int]]:
     """Bits in `parts` groups of nearly equal size; each group grows by the bit most correlated with it."""
+    bits = len(joint)
     mean = np.diag(joint) / max(n, 1)
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
     tie = np.abs((joint / max(n, 1) - np.outer(mean, mean)) / np.outer(spread, spread))
-    free, groups = list(range(64)), []
+    free, groups = np.ones(bits, bool), []
     for k in range(parts):
-        size = 64 * (k + 1) // parts - 64 * k // parts
-        group = [free.pop(0)]
-        while len(group) < size:
-            best = max(free, key=lambda j: (tie[j, group].sum(), -j))
-            free.remove(best)
+        size = bits * (k + 1) // parts - bits * k // parts
+        group, score = [], np.zeros(bits)
+        for _ in range(size):
+            best = int(np.argmax(np.where(free, score, -1.0)))  # the lowest of equal ones
+            free[best] = False
+            score += tie[best]
             group.append(best)
         groups.append(sorted(group))
     return groups
@@ -105,14 +125,14 @@ def group_bits(n: int, joint: np.ndarray, parts: int) -> list[list[int]]:
 
 def allocate(n: int, mean: np.ndarray, groups: list[list[int]], limit: int) -> tuple[float, list[int]]:
     """Least estimated cost and the part thresholds (-1: part unused) whose sum is limit - parts + 1."""
-    costs = []
+    n, costs = max(n, 1), []  # without fingerprints every plan would cost nothing
     for group in groups:
         differ = np.array([1.0])
         for j in group:
             p = 2 * mean[j] * (1 - mean[j])
             differ = np.convolve(differ, [1 - p, p])
         row = {-1: 0.0}
-        for t in range(limit + 1):
+        for t in range(min(limit, len(group)) + 1):
             ball = sum(math.comb(len(group), i) for i in range(t + 1))
             row[t] = PROBE_COST * n * ball + PAIR_COST * n * n / 2 * float(differ[: t + 1].sum())
         costs.append(row)
@@ -139,96 +159,133 @@ def plan_parts(n: int, joint: np.ndarray, limit: int) -> list[tuple[list[int], i
     return min(plans, key=lambda x: x[0])[1]
 
 
-def _probes(parts: list[tuple[list[int], int]]) -> Callable:
-    """Rows (key, fp, own): a bucket's key is the part's number and value; own: the value is the fingerprint's."""
+def _mask(bits: list[int], words: int) -> list[int]:
+    out = [0] * words
+    for j in bits:
+        out[j // 64] |= 1 << (j % 64)
+    return out
+
+
+def _probes(parts: list[tuple[list[int], int]], words: int) -> Callable:
+    """Rows (part, value, own, node, w0, ...): a bucket's key is the part's number and the (hashed) value of its
+    bits; own: the value is the fingerprint's."""
     flips = []
     for bits, t in parts:
-        masks = [0]
+        masks = [[0] * words]
         for k in range(1, t + 1):
-            masks += [sum(1 << j for j in c) for c in combinations(bits, k)]
-        flips.append((np.uint64(sum(1 << j for j in bits)), np.array(masks, np.uint64)))
+            masks += [_mask(list(c), words) for c in combinations(bits, k)]
+        flips.append((np.array(_mask(bits, words), np.uint64), np.array(masks, np.uint64)))
+    names = ["part", "value", "own", "node", *(f"w{i}" for i in range(words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            prints, node = _packed(batch, words), batch.column(0).to_numpy(zero_copy_only=False)
             for k, (mask, masks) in enumerate(flips):
                 step = max(1, (1 << 18) // len(masks))
-                for i in range(0, len(fp), step):
-                    part = fp[i : i + step]
-                    value = ((part & mask)[:, None] ^ masks[None, :]).ravel()
+                for i in range(0, len(prints), step):
+                    part = prints[i : i + step]
+                    value = np.zeros(len(part) * len(masks), np.uint64)
+                    for w in np.flatnonzero(mask):
+                        value = mix(value ^ ((part[:, w] & mask[w])[:, None] ^ masks[None, :, w]).ravel()) if words > 1 else ((part[:, w] & mask[w])[:, None] ^ masks[None, :, w]).ravel()
                     own = np.zeros((len(part), len(masks)), bool)
                     own[:, 0] = True
-                    columns = [np.full(len(value), k, np.int32), value.view(np.int64), np.repeat(part, len(masks)).view(np.int64), own.ravel()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["part", "value", "fp", "own"])
+                    columns = [np.full(len(value), k, np.int32), value.view(np.int64), own.ravel(), np.repeat(node[i : i + step], len(masks))]
+                    columns += [np.repeat(part[:, w], len(masks)).view(np.int64) for w in range(words)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     return run
 
 
-def _verify(limit: int) -> Callable:
-    """Rows come sorted by part and value; each is held against the rows after it in its bucket."""
+#: Rows of a bucket from which one row at a time is held against all others, instead of all at one distance.
+LARGE = 256
+
+
+def _verify(limit: int, words: int) -> Callable:
+    """Rows come sorted by part and value; links that connect what the close pairs of each bucket connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_a, found_b, held = [], [], 0
-        parts, values, prints, owns = [], [], [], []
+        waiting: list[list[np.ndarray]] = []
 
-        def settle(p: np.ndarray, v: np.ndarray, f: np.ndarray, o: np.ndarray) -> None:
+        def keep(a: np.ndarray, b: np.ndarray) -> None:
             nonlocal found_a, found_b, held
-            at = np.arange(len(p))
-            step = 1
-            while True:
-                at = at[at + step < len(p)]
-                at = at[(p[at] == p[at + step]) & (v[at] == v[at + step])]
-                if not len(at):
-                    return
-                a, b = f[at], f[at + step]
-                ok = (np.bitwise_count(a ^ b) <= limit) & (a != b) & (o[at] | o[at + step])
-                if ok.any():
-                    found_a.append(a[ok])
-                    found_b.append(b[ok])
-                    held += int(ok.sum())
-                    if held > 1 << 20:
-                        x, y = local_forest(np.concatenate(found_a), np.concatenate(found_b))
-                        found_a, found_b, held = [x], [y], 0
+            if not len(a):
+                return
+            found_a.append(a)
+            found_b.append(b)
+            held += len(a)
+            if held > 1 << 20:
+                x, y = local_forest(np.concatenate(found_a), np.concatenate(found_b))
+                found_a, found_b, held = [x], [y], 0
+
+        def near(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(f ^ g).sum(axis=1, dtype=np.int32) <= limit
+
+        def crowd(o: np.ndarray, n: np.ndarray, f: np.ndarray) -> None:
+            """All rows against the first one; then each that this did not link to it against all."""
+            first = int(np.argmax(o))  # some row is its own
+            close = near(f, f[first][None, :]) & (n != n[first]) & (o | o[first])
+            keep(np.full(int(close.sum()), n[first]), n[close])
+            linked = close | (n == n[first])
+            for i in np.flatnonzero(~linked).tolist():
+                close = near(f, f[i][None, :]) & (n != n[i]) & (o | o[i])
+                keep(np.full(int(close.sum()), n[i]), n[close])
+
+        def settle(p: np.ndarray, v: np.ndarray, o: np.ndarray, n: np.ndarray, f: np.ndarray) -> None:
+            if not len(p):
+                return
+            cuts = np.flatnonzero((p[1:] != p[:-1]) | (v[1:] != v[:-1])) + 1
+            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(p)]])
+            small = np.ones(len(p), bool)
+            for a, b in zip(starts[ends - starts >= LARGE].tolist(), ends[ends - starts >= LARGE].tolist(), strict=True):
+                small[a:b] = False
+                if o[a:b].any():
+                    crowd(o[a:b], n[a:b], f[a:b])
+            end_of = np.repeat(ends, ends - starts)
+            at, step = np.flatnonzero(small), 1
+            while len(at := at[at + step < end_of[at]]):
+                a, b = at, at + step
+                ok = (o[a] | o[b]) & (n[a] != n[b])
+                a, b = a[ok], b[ok]
+                ok = near(f[a], f[b])
+                keep(n[a[ok]], n[b[ok]])
                 step += 1
 
         def drain(last: bool) -> None:
-            nonlocal parts, values, prints, owns
-            if not parts:
+            nonlocal waiting
+            if not waiting:
                 return
-            p, v, f, o = (np.concatenate(x) for x in (parts, values, prints, owns))
-            stop = len(p)
-            if not last:
-                same = (p == p[-1]) & (v == v[-1])
-                stop = int(np.argmax(same))
-            settle(p[:stop], v[:stop], f[:stop], o[:stop])
-            parts, values, prints, owns = [p[stop:]], [v[stop:]], [f[stop:]], [o[stop:]]
+            p, v, o, n, f = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            stop = len(p) if last else int(np.argmax((p == p[-1]) & (v == v[-1])))
+            settle(p[:stop], v[:stop], o[:stop], n[:stop], f[:stop])
+            waiting = [[x[stop:] for x in (p, v, o, n, f)]]
 
         for batch in batches:
             if batch.num_rows:
-                parts.append(batch.column(0).to_numpy(zero_copy_only=False))
-                values.append(batch.column(1).to_numpy(zero_copy_only=False))
-                prints.append(batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
-                owns.append(batch.column(3).to_numpy(zero_copy_only=False))
-                if sum(map(len, parts)) > 1 << 17:
+                waiting.append([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), _packed(batch, words, 4)])
+                if sum(len(x[0]) for x in waiting) > 1 << 17:
                     drain(False)
         drain(True)
         if found_a:
             a, b = local_forest(np.concatenate(found_a), np.concatenate(found_b))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def links(prints: DataFrame, limit: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect exactly what the links of all distinct fingerprints within `limit` bits do.
+def links(prints: DataFrame, limit: int = 4, words: int = 1, within: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b): links of nodes that connect what the links of all fingerprints within `limit` bits do.
 
-    `prints` has one long column of distinct fingerprints. A bucket with more than `block` rows is dealt to
-    as many blocks as that needs: each row goes to one block as it is, and the bucket's own fingerprints of
-    one block meet those of another in a task for that pair of blocks, so no task holds a bucket whole.
+    `prints` has rows (node, w0, w1, ...) of longs with distinct nodes. With `within` above `limit` the search
+    also keeps pairs that it happens to meet up to that many bits: all pairs within `limit` bits are met, of
+    wider ones those that agree in some part. A bucket with more than `block` rows is dealt to as many blocks
+    as that needs: each row goes to one block as it is, and the bucket's own fingerprints of one block meet
+    those of another in a task for that pair of blocks, so no task holds a bucket whole.
     """
-    n, joint = bit_statistics(prints)
+    n, joint = bit_statistics(prints, words)
     parts = plan_parts(n, joint, limit)
-    rows = prints.mapInArrow(_probes(parts), "part int, value long, fp long, own boolean")
+    more = [f"w{i}" for i in range(words)]
+    rows = prints.mapInArrow(_probes(parts, words), "part int, value long, own boolean, node long, " + ", ".join(f"{w} long" for w in more))
     large = rows.groupBy("part", "value").agg(F.count("*").alias("rows")).filter(F.col("rows") > block)
     # at most rows / block buckets are large; they decide how a row is dealt
     large = cut(large.select("part", "value", F.ceil(F.col("rows") / block).cast("int").alias("blocks")))
@@ -236,12 +293,12 @@ def links(prints: DataFrame, limit: int = 4, block: int = BLOCK) -> DataFrame:
         dealt = rows.withColumn("cell", F.lit(0))
     else:
         rows = rows.join(large, ["part", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         # cell i * blocks + j (i <= j) holds the rows of blocks i and j
         cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
         dealt = rows.withColumn("cell", F.explode(cells)).drop("blocks")
-    dealt = dealt.repartition("part", "value", "cell").select((F.col("part") + F.col("cell").cast("long") * 8).alias("part"), "value", "fp", "own")
-    return dealt.sortWithinPartitions("part", "value").mapInArrow(_verify(limit), "a long, b long")
+    dealt = dealt.repartition("part", "value", "cell").select((F.col("part") + F.col("cell").cast("long") * 1024).alias("part"), "value", "own", "node", *more)
+    return dealt.sortWithinPartitions("part", "value").mapInArrow(_verify(limit if within is None else within, words), "a long, b long")
 
 
 def simhash_components(
@@ -259,7 +316,7 @@ def simhash_components(
     # the fingerprint keeps nodes apart whose rows repeat an id
     name = F.struct(F.col("_low").isNull().alias("none"), F.col("_low").alias("id"), F.col("_fp").alias("fp"))
     owners = cut(prints.groupBy("_fp").agg(F.min("_id").alias("_low")).select("_fp", name.alias("_node")))
-    found = links(owners.select("_fp"), limit)
+    found = links(owners.select("_fp", F.col("_fp").alias("w0")), limit)
     found = found.join(owners.select(F.col("_fp").alias("a"), F.col("_node").alias("x")), "a")
     found = found.join(owners.select(F.col("_fp").alias("b"), F.col("_node").alias("y")), "b")
     roots = components(found, "x", "y").select(F.col("node.fp").alias("_fp"), F.col("root.id").alias("_root"), F.lit(True).alias("_linked"))
@@ -268,18 +325,3 @@ def simhash_components(
     return prints.join(cut(named), "_fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_representatives(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, seed: int = 42
-) -> DataFrame:
-    """The rows of the smallest id of each component of simhash_components(), with all their columns.
-
-    Rows that repeat the smallest id stay together, and so do rows of a component without any id.
-    No column of docs may be called _keep_id.
-    """
-    if "_keep_id" in docs.columns:
-        raise ValueError("_keep_id is a column already")
-    found = simhash_components(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, words, limit, seed)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_keep_id"]), "left_semi")
