@@ -38,7 +38,8 @@ WINDOW = 20
 FIRST, LAST, LEAST = 4, 9, 5
 _A, _B, _RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _ODD = mix(np.arange(101, 101 + 2 * WINDOW, dtype=np.uint64)) | np.uint64(1)
-_NULL = np.iinfo(np.int64).max
+#: A null id comes last: it is packed as the largest id with positions moved by APART, which no text has words for.
+_NULL, APART = np.iinfo(np.int64).max, np.int32(1 << 30)
 _ROW = "bucket int, kind int, blob binary"
 
 
@@ -94,8 +95,15 @@ def _doc_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(ids.view(np.uint64) ^ _B) % np.uint64(buckets)).astype(np.int64)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return pc.fill_null(column, int(_NULL)).to_numpy(zero_copy_only=False).astype(np.int64)
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and what their null ones add to positions."""
+    none = pc.is_null(column).to_numpy(zero_copy_only=False)
+    return pc.fill_null(column, int(_NULL)).to_numpy(zero_copy_only=False).astype(np.int64), np.where(none, APART, np.int32(0))
+
+
+def _own(pos: np.ndarray, moved: int) -> np.ndarray:
+    """Which positions of an id belong to a text with that id or, if moved, to one without any."""
+    return (pos >= APART) == bool(moved)
 
 
 def symbols(words: np.ndarray, doc: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +169,9 @@ def _scan(buckets: int) -> Callable:
         for batch in batches:
             for part in slices(batch, "_text", 6 << 20):
                 words = Words(part.column("_text"))
-                ids = _ids(part.column("_id"))
+                ids, moved = _ids(part.column("_id"))
                 name, doc, pos = high_symbols(words.ids(), words.offsets)
+                pos = pos + moved[doc]
                 _, at, back, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
                 twice = count[back] > 1
                 at = np.sort(at)
@@ -220,7 +229,7 @@ def _texts(buckets: int) -> Callable:
         codec = pa.Codec("zstd", 3)
         for batch in batches:
             for part in slices(batch, "_text", 6 << 20):
-                ids = _ids(part.column("_id"))
+                ids, moved = _ids(part.column("_id"))
                 bucket = _doc_bucket(ids, buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -228,7 +237,7 @@ def _texts(buckets: int) -> Callable:
                 for rows in np.split(order, cuts):
                     raw = [x.encode() for x in strings(part.column("_text")).take(pa.array(rows)).to_pylist()]
                     joined = b"".join(raw)
-                    head = _pack(ids[rows], np.array([len(x) for x in raw], np.int64))
+                    head = _pack(ids[rows], np.array([len(x) for x in raw], np.int64), moved[rows].astype(np.int32))
                     packed = codec.compress(joined, asbytes=True)
                     out.append((int(bucket[rows[0]]), _TEXT, struct.pack("<IQ", len(head), len(joined)) + head + packed))
                 yield _rows(out)
@@ -236,12 +245,12 @@ def _texts(buckets: int) -> Callable:
     return run
 
 
-def _untext(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+def _untext(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     n, full = struct.unpack_from("<IQ", blob)
-    ids, lengths = _unpack(blob[12 : 12 + n])
+    ids, lengths, moved = _unpack(blob[12 : 12 + n])
     joined = pa.Codec("zstd").decompress(blob[12 + n :], full, asbytes=True)
     ends = np.cumsum(lengths).tolist()
-    return ids, [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return ids, moved, [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _window_names(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +287,7 @@ def _verify(buckets: int) -> Callable:
             hit_id, hit_pos = hit_id[order], hit_pos[order]
             found: list[list[np.ndarray]] = []
             for blob in held[_TEXT]:
-                ids, raw = _untext(blob)
+                ids, moved, raw = _untext(blob)
                 left, right = _places(ids, hit_id)
                 some = np.flatnonzero(right > left)
                 if not len(some):
@@ -288,14 +297,15 @@ def _verify(buckets: int) -> Callable:
                 marked = np.zeros(n + 1, bool)
                 for k, i in enumerate(some.tolist()):
                     base, end = int(words.offsets[k]), int(words.offsets[k + 1])
-                    at = hit_pos[left[i] : right[i]].astype(np.int64) + base
+                    at = hit_pos[left[i] : right[i]]
+                    at = at[_own(at, moved[i])].astype(np.int64) - int(moved[i]) + base
                     for back in range(FIRST, LAST + 1):
                         start = at - back
                         marked[start[(start >= base) & (start + WINDOW <= end)]] = True
                 at = np.flatnonzero(marked)
                 a, b = _window_names(name, at)
                 doc = np.repeat(np.arange(len(some)), np.diff(words.offsets))[at]
-                found.append([a, b, ids[some][doc], (at - words.offsets[:-1][doc]).astype(np.int32)])
+                found.append([a, b, ids[some][doc], (at - words.offsets[:-1][doc]).astype(np.int32) + moved[some][doc]])
             if not found:
                 continue
             a, b, ids, pos = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -330,17 +340,20 @@ def _remove(with_text: bool) -> Callable:
             gone = _concat(held.get(_GONE)) or [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32)]
             order = np.argsort(gone[0], kind="stable")
             gone_id, gone_pos, check = (x[order] for x in gone)
-            texts = [_untext(x) for x in held[_TEXT]]
-            every = np.concatenate([x[0] for x in texts])
-            shared = set(np.unique(every, return_counts=True)[0][np.unique(every, return_counts=True)[1] > 1].tolist())
-            for ids, raw in texts:
+            every = np.concatenate([_unpack(x[12 : 12 + struct.unpack_from("<I", x)[0]])[0] for x in held[_TEXT]])
+            names, counts = np.unique(every, return_counts=True)
+            shared = set(names[counts > 1].tolist())
+            for blob in held[_TEXT]:  # one packed slice of texts at a time
+                ids, moved, raw = _untext(blob)
                 left, right = _places(ids, gone_id)
                 out = []
                 for i, (d, text) in enumerate(zip(ids.tolist(), raw, strict=True)):
                     words = text.split()
                     n = len(words)
-                    if right[i] > left[i]:
-                        at, sign = gone_pos[left[i] : right[i]].astype(np.int64), check[left[i] : right[i]]
+                    at = gone_pos[left[i] : right[i]]
+                    own = _own(at, moved[i])
+                    if own.any():
+                        at, sign = at[own].astype(np.int64) - int(moved[i]), check[left[i] : right[i]][own]
                         if d in shared:  # places of another row with this id have other names
                             inside = at + WINDOW <= n
                             at, sign = at[inside], sign[inside]
@@ -351,7 +364,7 @@ def _remove(with_text: bool) -> Callable:
                         np.add.at(over, at + WINDOW, -1)
                         words = list(compress(words, (np.cumsum(over)[:n] == 0).tolist()))
                     kept = b" ".join(words)
-                    out.append((None if d == _NULL else d, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept))
+                    out.append((None if moved[i] else d, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept))
                 columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out])]
                 if with_text:
                     columns.append(pa.array([x[4] for x in out], pa.binary()).cast(pa.string()))

@@ -202,7 +202,8 @@ def test_remove_repeats(spark):
     words = [f"w{RNG.randrange(40)}" for _ in range(4000)]
     shared = " ".join(words[:60])
     texts = [*TEXTS, shared, f"a {shared} b", "r " * 70, "p q " * 45, f"{shared} c {shared}", "x y z " * 30 + shared, *(" ".join(words[k : k + 45]) for k in range(0, 400, 17))]
-    docs = documents(spark, [*texts, "one", TEXTS[12], shared], [*range(len(texts)), None, 12, 3])
+    last = 2**63 - 1
+    docs = documents(spark, [*texts, "one", TEXTS[12], shared, shared, f"o {shared}", TEXTS[13]], [*range(len(texts)), None, 12, 3, last, None, last])
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(docs).collect()), key=str)
     assert got == removed_by_force(rows)
