@@ -34,9 +34,10 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _split(frame: DataFrame, *columns: str) -> DataFrame:
     """The frame with an exchange of its own when it is joined by the first column: its partitioning is hidden
-    behind an expression, so a join with it is between two plain exchanges, which Spark splits when one is skewed."""
+    behind an expression that the optimizer leaves alone, so a join with it is between two plain exchanges,
+    which Spark splits when one is skewed."""
     key = columns[0]
-    return frame.select(F.when(F.col(key).isNotNull(), F.col(key)).alias(key), *columns[1:])
+    return frame.select(F.element_at(F.array(F.col(key)), 1).alias(key), *columns[1:])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
