@@ -2,8 +2,8 @@
 
 Candidates come from the generalised pigeonhole search of numbra.llm.simhash over fingerprints of five-word
 shingles: groups of texts whose fingerprints link. Each group is then verified on the whole sets of shingles:
-first every text against the group's least one, then, in one task for each group, all pairs that these links
-left in different components. Groups of true near copies thus cost one comparison for each text, and a link
+first every text against the group's least one, which makes stars, then, in one task for each block of a group,
+all pairs that the stars left apart. Groups of true near copies thus cost one comparison for each text, and a link
 that only two others of a group have is still found.
 """
 
@@ -95,9 +95,9 @@ def _similar(words: int, least: int) -> Callable:
 
 
 def _across(words: int, least: int) -> Callable:
-    """Rows come sorted by key and cell; links of similar texts of a cell that have different roots."""
+    """Rows come sorted by key and cell; links between the different roots of similar texts of a cell."""
 
-    def settle(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def settle(roots: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         names, counts = np.unique(roots, return_counts=True)
         # every pair with different roots has one outside of the largest component
         outside = np.flatnonzero(roots != names[np.argmax(counts)])
@@ -112,35 +112,35 @@ def _across(words: int, least: int) -> Callable:
                 part = own[i : i + step]
                 both += np.bincount(owner[ranges(first[part], often[part])], minlength=len(sets))
             near = np.flatnonzero((100 * both >= least * (sizes[x] + sizes - both)) & (roots != roots[x]))
-            a.append(np.full(len(near), nodes[x]))
-            b.append(nodes[near])
-        return local_forest(np.concatenate(a), np.concatenate(b)) if a else (nodes[:0], nodes[:0])
+            a.append(np.full(len(near), roots[x]))
+            b.append(roots[near])
+        return local_forest(np.concatenate(a), np.concatenate(b)) if a else (roots[:0], roots[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, ([], [], [])
+        at, held = None, ([], [])
 
         def drain() -> pa.RecordBatch:
-            a, b = settle(np.array(held[0], np.int64), np.array(held[1], np.int64), held[2])
+            a, b = settle(np.array(held[0], np.int64), held[1])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             for part in slices(batch, "_text"):
-                columns = [part.column(x).to_pylist() for x in ("key", "cell", "node", "root")]
-                for key, cell, node, root, found in zip(*columns, shingle_sets(part.column("_text"), words), strict=True):
+                columns = [part.column(x).to_pylist() for x in ("key", "cell", "root")]
+                for key, cell, root, found in zip(*columns, shingle_sets(part.column("_text"), words), strict=True):
                     if at != (key, cell):
                         if held[0]:
                             yield drain()
-                        at, held = (key, cell), ([], [], [])
-                    for x, y in zip(held, (node, root, found), strict=True):
-                        x.append(y)
+                        at, held = (key, cell), ([], [])
+                    held[0].append(root)
+                    held[1].append(found)
         if held[0]:
             yield drain()
 
     return run
 
 
-def near_links(texts: DataFrame, words: int = SHINGLE, least: int = LEAST, limit: int = LIMIT, within: int = WITHIN, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified links that connect what all similar pairs that the search meets connect.
+def near_components(texts: DataFrame, words: int = SHINGLE, least: int = LEAST, limit: int = LIMIT, within: int = WITHIN, block: int = BLOCK) -> DataFrame:
+    """(node, root): every node that a similar pair met by the search links, with one node of its component.
 
     `texts` has rows of _node long and _text string; equal texts have equal nodes and may repeat.
     """
@@ -159,9 +159,9 @@ def near_links(texts: DataFrame, words: int = SHINGLE, least: int = LEAST, limit
     # only texts of groups from here on
     whole = texts.join(held.select(F.col("node").alias("_node")), "_node", "left_semi")
     whole = cut(whole.select("_node", "_text").dropDuplicates(["_node"]))
-    stars = verified(held.filter("node <> key").select(F.col("key").alias("a"), F.col("node").alias("b")))
-    found = components(stars)
-    rooted = held.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # each link has its group's least node, so the links are stars: a node's root is known without any rounds
+    stars = verified(held.filter("node <> key").select(F.col("key").alias("a"), F.col("node").alias("b"))).select(F.col("b").alias("node"), F.col("a").alias("root"))
+    rooted = held.join(stars, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     # groups that the stars did not connect; a large one is dealt to cells i * blocks + j (i <= j) for blocks i and j
     open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high")
     open_ = cut(open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
@@ -169,8 +169,10 @@ def near_links(texts: DataFrame, words: int = SHINGLE, least: int = LEAST, limit
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
     rooted = rooted.select("key", F.explode(cells).alias("cell"), "node", "root").join(whole, F.col("node") == F.col("_node"))
-    rooted = rooted.select("key", "cell", "node", "root", "_text").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return stars.unionByName(cut(rooted.mapInArrow(_across(words, least), "a long, b long")))
+    rooted = rooted.select("key", "cell", "root", "_text").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    joined = components(rooted.mapInArrow(_across(words, least), "a long, b long"))
+    moved = stars.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
+    return joined.unionByName(moved.select("node", F.coalesce("_to", "root").alias("root")))
 
 
 def keep_near_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -186,7 +188,7 @@ def keep_near_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     rows = rows.select("_id", F.xxhash64("_text").alias("_node"), "_text")
     owners = cut(rows.groupBy("_node").agg(F.min("_id").alias("_low")))
-    found = components(near_links(rows.select("_node", "_text"), words, least))
+    found = near_components(rows.select("_node", "_text"), words, least)
     owners = owners.join(found, owners["_node"] == found["node"], "left").select("_node", "_low", F.coalesce("root", "_node").alias("_root"))
     kept = owners.groupBy("_root").agg(F.min("_low").alias("_keep_id")).select("_keep_id").distinct()
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_keep_id"]), "left_semi")
