@@ -124,6 +124,29 @@ ORACLES: dict[str, str] = {
         )
         SELECT *, sha256(json) AS json_sha256 FROM m
     """,
+    # windows by list functions; each one but the first of its name removes its words
+    "op9_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS words FROM documents
+        ), windows AS (
+            SELECT doc_id, start, sha256(array_to_string(words[start : start + 19], ' ')) AS name
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM d)
+        ), later AS (
+            SELECT doc_id, list(start) AS starts FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, start) AS nth FROM windows)
+            WHERE nth > 1 GROUP BY doc_id
+        ), gone AS (
+            SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda s: range(s, s + 20)))) AS places FROM later
+        ), each AS (
+            SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS place FROM d
+        ), covered AS (
+            SELECT DISTINCT doc_id, unnest(places) AS place FROM gone
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(words[place], ' ' ORDER BY place) AS text
+            FROM each ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op10_warc": """
         SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
                CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN owner END AS refers_to
