@@ -26,8 +26,8 @@ from numbra.llm.simhash import links
 WORDS, LIMIT, WITHIN = 4, 24, 64
 #: Words of a shingle and least similarity in percent.
 SHINGLE, LEAST = 5, 80
-#: Texts of a bucket that are held against each other in one task; a larger bucket is split into blocks.
-BLOCK = 1024
+#: Texts of a group in a block; two blocks meet in one task.
+BLOCK = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,12 +162,16 @@ def near_components(texts: DataFrame, words: int = SHINGLE, least: int = LEAST,
     # each link has its group's least node, so the links are stars: a node's root is known without any rounds
     stars = verified(held.filter("node <> key").select(F.col("key").alias("a"), F.col("node").alias("b"))).select(F.col("b").alias("node"), F.col("a").alias("root"))
     rooted = held.join(stars, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    # groups that the stars did not connect; a large one is dealt to cells i * blocks + j (i <= j) for blocks i and j
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    open_ = cut(open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    # groups that the stars did not connect whole. What a star holds needs no comparison within: its rows go, in blocks,
+    # to each block of the others, and those meet each other; cell i * (outer + inner) + j has blocks i and j
+    alone = F.col("root") != F.col("key")
+    open_ = rooted.groupBy("key").agg(F.count_if(alone).alias("outer"), F.count_if(~alone).alias("inner")).filter("outer > 0")
+    open_ = cut(open_.select("key", *(F.ceil(F.col(x) / block).cast("long").alias(x) for x in ("outer", "inner"))))
     rooted = rooted.join(open_, "key")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
+    outer, inner, h = F.col("outer"), F.col("inner"), F.xxhash64("node")
+    mine = F.when(alone, F.pmod(h, outer)).otherwise(outer + F.pmod(h, inner))
+    others = F.sequence(F.lit(0).cast("long"), F.when(alone, outer + inner - 1).otherwise(outer - 1))
+    cells = F.transform(others, lambda x: F.least(x, mine) * (outer + inner) + F.greatest(x, mine))
     rooted = rooted.select("key", F.explode(cells).alias("cell"), "node", "root").join(whole, F.col("node") == F.col("_node"))
     rooted = rooted.select("key", "cell", "root", "_text").repartition("key", "cell").sortWithinPartitions("key", "cell")
     joined = components(rooted.mapInArrow(_across(words, least), "a long, b long"))

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from numbra.llm.near_dedup import near_components
 from tests.llm.test_operators import documents
 
 
@@ -28,6 +29,21 @@ def representatives(texts):
     return {i for i in range(len(texts)) if find(i) == i}
 
 
+def test_blocks_of_a_group_meet(spark):
+    """Texts of one group that no star holds together, dealt to blocks of two: the same components as in one block."""
+    rng = random.Random(5)
+    words, texts = [f"w{i}" for i in range(120)], []
+    for _ in range(24):
+        texts.append(" ".join(words))
+        for _ in range(2):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**9)}"
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_node long, _text string")
+    found = {r.node: r.root for r in near_components(rows, block=2).collect()}
+    want = representatives(texts)
+    assert len({found.get(i, i) for i in range(len(texts))}) == len(want)
+    assert len(want) < 6
+
+
 def test_near_copies_by_similarity(spark):
     rng = random.Random(3)
     texts = [None, "", " \n", "one two", "One TWO", "one two three"]
