@@ -3,14 +3,16 @@
 Every token has a log-odds between toxic and clean text, of the word or else its longest telling prefix, with
 Dirichlet priors that lean each feature on the next shorter one. A linear scan lists all maximal scoring segments of a document. Segment scores are turned into
 expected numbers of chance segments of that score in a text of that length (extreme-value statistics of the
-clean training texts), and a logistic curve over the best one gives the document's score.
+clean training texts), and a logistic curve over the best one gives the document's score. These statistics
+hold only if scores fall along every kind of clean text; so each token also pays a toll, and of a few tolls
+the one whose curve fits the training labels best is taken.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ PRIOR, LEAST_TOKENS, LEAST_DOCUMENTS, LEAST_Z = 4.0, 4, 3, 3.0
 LENGTHS = (4, 5, 6, 7, 0)
 #: A passage is significant if fewer than this many of its score are expected in a clean text of that length.
 SIGNIFICANT = 0.05
+#: Tolls of a token that the fit chooses from.
+TOLLS = (0.0, 0.25, 0.5, 1.0, 2.0)
 _BIN = 0.5
 
 
@@ -124,14 +128,20 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
-def passages(model: ToxicityModel, words: Words) -> list[tuple[int, list[tuple[int, int, float]]]]:
-    """(words, maximal segments) of each text."""
+def _word_scores(model: ToxicityModel, words: Words) -> np.ndarray:
+    """The score of each distinct word."""
     table = np.full(len(words.values), model.other)
     if len(model.hashes):
         for of in _features(words.values):  # the longest one has the last say
             at = np.minimum(np.searchsorted(model.hashes, of), len(model.hashes) - 1)
             hit = (model.hashes[at] == of) & (of > 0)
             table[hit] = model.scores[at[hit]]
+    return table
+
+
+def passages(model: ToxicityModel, words: Words) -> list[tuple[int, list[tuple[int, int, float]]]]:
+    """(words, maximal segments) of each text."""
+    table = _word_scores(model, words)
     scores = table[words.codes] if len(table) else np.empty(0)
     out = []
     for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True):
@@ -149,20 +159,38 @@ def passages(model: ToxicityModel, words: Words) -> list[tuple[int, list[tuple[i
     return out
 
 
-def _best(model: ToxicityModel) -> Callable:
+def _best(held, rates: list[float]) -> Callable:
+    """(toxic, toll, bin, texts): texts by their best segment's rate * score - ln(words) in bins of _BIN, for each toll.
+
+    The best segment alone needs no list of segments: it is the largest rise of the running sum over its least value before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         for batch in batches:
             for part in slices(batch, "_text", 8 << 20):
-                found = passages(model, Words(part.column("_text")))
-                best = [max((s for _, _, s in x), default=0.0) for _, x in found]
-                columns = [part.column("_toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array(best, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["toxic", "words", "best"])
+                words = Words(part.column("_text"))
+                lengths = np.diff(words.offsets)
+                scores = _word_scores(model, words)[words.codes] if len(words.values) else np.empty(0)
+                best = np.zeros((len(lengths), len(TOLLS)))
+                for i, (a, n) in enumerate(zip(words.offsets.tolist(), lengths.tolist())):  # noqa: B905
+                    sums = np.concatenate([[0.0], np.cumsum(scores[a : a + n])])
+                    for k, toll in enumerate(TOLLS):
+                        paid = sums - toll * np.arange(n + 1)
+                        best[i, k] = (paid - np.minimum.accumulate(paid)).max()
+                value = np.where(best > 0, best * rates - np.log(np.maximum(lengths, 1))[:, None], -20.0)
+                bins = np.clip(np.round(value / _BIN), -40, 2000).astype(np.int64)
+                toxic = (part.column("_toxic").to_numpy(zero_copy_only=False) == 1).astype(np.int64)
+                each = np.stack([np.repeat(toxic, len(TOLLS)), np.tile(np.arange(len(TOLLS)), len(toxic)), bins.ravel()])
+                rows, count = np.unique(each, axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, count)], ["toxic", "toll", "bin", "texts"])
 
     return run
 
 
 def _token_scores(table: dict[str, np.ndarray], sums: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features, log-odds and counts of toxic and clean tokens of the telling ones, in order of the features."""
+    """Features, log-odds and counts of toxic and clean tokens of the telling ones, in order of the features.
+
+    A token counts for the longest of its telling features, which has its score."""
     order = np.argsort(table["feature"])
     t = {k: x[order] for k, x in table.items()}
     share = sums["t"] / (sums["t"] + sums["c"])
@@ -174,7 +202,26 @@ def _token_scores(table: dict[str, np.ndarray], sums: dict[str, float]) -> tuple
     cells = [t["toxic_docs"] + 0.5, sums["td"] - t["toxic_docs"] + 0.5, t["clean_docs"] + 0.5, sums["cd"] - t["clean_docs"] + 0.5]
     z = (np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])) / np.sqrt(sum(1 / x for x in cells))
     keep = (np.abs(z) >= LEAST_Z) & (z * score > 0)
-    return t["feature"][keep], score[keep], t["toxic"][keep].astype(float), t["clean"][keep].astype(float)
+    own = {name: t[name].astype(float) for name in ("toxic", "clean")}
+    mine = np.flatnonzero(keep)
+    at, linked = up[mine], known[mine]
+    for _ in LENGTHS:  # up to the next shorter telling one
+        on = linked & ~keep[at]
+        linked = np.where(on, known[at], linked)
+        at = np.where(on, up[at], at)
+    for name, count in own.items():
+        np.subtract.at(count, at[linked], t[name][mine[linked]])
+    return t["feature"][keep], score[keep], own["toxic"][keep], own["clean"][keep]
+
+
+def _rate(scores: np.ndarray, tokens: np.ndarray) -> float:
+    """The rate that solves E[exp(rate * score)] = 1 over tokens with these scores and counts."""
+    low, high = 1e-3, 5.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        total = (tokens * np.exp(np.minimum(mid * scores, 50))).sum()
+        low, high = (mid, high) if total < tokens.sum() else (low, mid)
+    return max(low, 0.05)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -254,31 +301,28 @@ def fit_toxicity(
     hashes, scores, tox, cln = (np.concatenate(x) for x in zip(*telling, strict=True))
     order = np.argsort(hashes)
     hashes, scores, tox, cln = hashes[order], scores[order], tox[order], cln[order]
-    up = scores > 0
-    # words outside of the model: at most what the rising features leave of either class, by their longest share
-    t, c = (min(0.5, x[up].max(initial=0) / n) for x, n in ((tox, sums["t"]), (cln, sums["c"])))
+    # words outside of the model: what the telling features leave of either class
+    t, c = (min(0.95, x.sum() / n) for x, n in ((tox, sums["t"]), (cln, sums["c"])))
     other = min(-0.05, math.log((1 - t) / (1 - c)))
-    model = ToxicityModel(hashes, scores, other)
-    # the rate solves E[exp(rate * score)] = 1 over clean tokens
-    rest = max(1.0, sums["c"] - cln[up].sum())
-    low, high = 1e-3, 5.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        total = (cln[up] * np.exp(np.minimum(mid * scores[up], 50))).sum() + rest * math.exp(mid * other)
-        low, high = (mid, high) if total < sums["c"] else (low, mid)
-    rate = max(low, 0.05)
-    found = rows.mapInArrow(_best(model), "toxic int, words long, best double")
-    value = F.when(F.col("best") > 0, F.col("best") * rate - F.log(F.greatest("words", F.lit(1)))).otherwise(F.lit(-20.0))
+    clean_scores, clean_tokens = np.append(scores, other), np.append(cln, max(1.0, sums["c"] - cln.sum()))
+    rates = [_rate(clean_scores - toll, clean_tokens) for toll in TOLLS]
+    held = spark.sparkContext.broadcast(ToxicityModel(hashes, scores, other))
     # a table of bins, whatever the number of rows
-    bins = found.select("toxic", F.least(F.greatest(F.round(value / _BIN), F.lit(-40.0)), F.lit(2000.0)).alias("b")).groupBy("toxic", "b").count().collect()
-    x = np.array([r["b"] * _BIN for r in bins])
-    y, w = np.array([float(r["toxic"] == 1) for r in bins]), np.array([float(r["count"]) for r in bins])
-    chance = (y == 0) & (x > -20)
-    # for a Gumbel variable the mean of rate * best - ln(words) is ln K + Euler's constant
-    log_k = float((x[chance] * w[chance]).sum() / w[chance].sum() - 0.5772) if chance.any() else 0.0
-    x = np.where(x > -20, x - log_k, -20.0)
-    slope, shift = _logistic(x, y, w)
-    return replace(model, rate=rate, log_k=log_k, slope=slope, shift=shift)
+    bins = rows.mapInArrow(_best(held, rates), "toxic long, toll long, bin long, texts long").groupBy("toxic", "toll", "bin").agg(F.sum("texts").alias("texts")).collect()
+    held.unpersist()
+    fits = []
+    for k, toll in enumerate(TOLLS):
+        mine = [r for r in bins if r["toll"] == k]
+        x, y, w = (np.array([float(r[name]) for r in mine]) for name in ("bin", "toxic", "texts"))
+        x = x * _BIN
+        chance = (y == 0) & (x > -20)
+        # for a Gumbel variable the mean of rate * best - ln(words) is ln K + Euler's constant
+        log_k = float((x[chance] * w[chance]).sum() / w[chance].sum() - 0.5772) if chance.any() else 0.0
+        x = np.where(x > -20, x - log_k, -20.0)
+        slope, shift = _logistic(x, y, w)
+        loss = float((w * np.logaddexp(0, np.where(y == 1, -1, 1) * (slope * x + shift))).sum())
+        fits.append((loss, ToxicityModel(hashes, scores - toll, other - toll, rates[k], log_k, slope, shift)))
+    return min(fits, key=lambda f: f[0])[1]
 
 
 def _score(model, id_col: str) -> Callable:
