@@ -71,7 +71,7 @@ def _features(values: pa.Array) -> list[np.ndarray]:
 
 
 def _counter(wanted) -> Callable:
-    """(feature, kind, above, top, tokens, docs) of all features of the texts, or of those in the sorted array `wanted`; `above`: the next shorter one, `top`: the shortest one."""
+    """(feature, above, top, tokens, docs) of all features of the texts, or of those in the sorted array `wanted`; `above`: the next shorter one, `top`: the shortest one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +83,7 @@ def _counter(wanted) -> Callable:
                 tokens = np.bincount(words.codes, minlength=n)
                 pairs = np.unique(np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets)) * n + words.codes)
                 above, top = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                for kind, of in enumerate(_features(words.values)):
+                for of in _features(words.values):
                     use = of > 0
                     top = np.where(top > 0, top, of)
                     if wanted is not None:
@@ -95,9 +95,9 @@ def _counter(wanted) -> Callable:
                         index[use] = at
                         mine = pairs[index[pairs % n] >= 0]
                         docs = np.unique(mine // n * len(named) + index[mine % n]) % len(named)
-                        columns = [named.view(np.int64), np.full(len(named), kind, np.int8), above[use][first].view(np.int64), top[use][first].view(np.int64)]
+                        columns = [named.view(np.int64), above[use][first].view(np.int64), top[use][first].view(np.int64)]
                         columns += [np.bincount(at, tokens[use], len(named)).astype(np.int64), np.bincount(docs, minlength=len(named))]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["feature", "kind", "above", "top", "tokens", "docs"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["feature", "above", "top", "tokens", "docs"])
                     above = np.where(of > 0, of, above)
 
     return run
@@ -262,11 +262,12 @@ def fit_toxicity(
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # about most_labelled rows of two numbers
     rows = rows.join(F.broadcast(known), "_id").select("_text", "_toxic")
-    spark, shape = docs.sparkSession, "feature long, kind byte, above long, top long, tokens long, docs long"
+    spark, shape = docs.sparkSession, "feature long, above long, top long, tokens long, docs long"
 
     def counted(frame: DataFrame, wanted) -> DataFrame:
         found = frame.select("_text").mapInArrow(_counter(wanted), shape)
-        return found.groupBy("feature").agg(F.max("kind").alias("kind"), F.max("above").alias("above"), F.max("top").alias("top"), F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
+        # what the caller does not select is not shuffled
+        return found.groupBy("feature").agg(F.max("above").alias("above"), F.max("top").alias("top"), F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
 
     words = F.size(F.split(F.trim(F.coalesce("_text", F.lit(""))), r"\s+"))
     totals = {r["t"]: r for r in rows.groupBy((F.col("_toxic") == 1).alias("t")).agg(F.sum(words).alias("n"), F.count("*").alias("d")).collect()}
@@ -287,7 +288,7 @@ def fit_toxicity(
             continue
         feature = of(mine, "feature").view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(feature))
-        clean = counted(rows.filter("_toxic <> 1"), wanted).toArrow()
+        clean = counted(rows.filter("_toxic <> 1"), wanted).select("feature", "tokens", "docs").toArrow()
         order = np.argsort(feature)
         at = order[np.searchsorted(feature[order], of(clean, "feature").view(np.uint64))]
         table = {"feature": feature, "above": of(mine, "above").view(np.uint64), "toxic": of(mine, "tokens"), "toxic_docs": of(mine, "docs")}
