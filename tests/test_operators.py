@@ -2,6 +2,7 @@
 
 import json
 import threading
+import zlib
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
@@ -236,3 +237,14 @@ def test_observed_counts_rows_as_they_pass(spark):
     frame, watch = metrics.observed(spark.range(100).filter("id % 3 = 0"), "thirds", top=F.max("id"))
     tables.blackhole(frame)
     assert watch.get == {"rows": 34, "top": 99} and set(metrics.environment()) >= {"spark", "python"}
+
+
+def test_dataset_crc(tmp_path):
+    assert metrics.dataset_crc(str(tmp_path)) == "00000000"
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x").write_bytes(b"two")
+    (tmp_path / "a").write_bytes(b"one")
+    first = metrics.dataset_crc(str(tmp_path))
+    assert first == f"{zlib.crc32(b'aoneb/xtwo'):08x}"
+    (tmp_path / "a").write_bytes(b"onf")
+    assert metrics.dataset_crc(str(tmp_path)) != first
