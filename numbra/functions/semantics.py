@@ -1,7 +1,7 @@
 """Helpers where plain Spark expressions differ from IEEE or strict SQL semantics.
 
 Spark has one order of doubles (NaN above all and equal to itself, zeros equal), raises on division by zero,
-gives null for logarithms outside their domain and skips nulls in least() and greatest().
+gives null for logarithms outside their domain, rounds decimally and skips nulls in least() and greatest().
 """
 
 from __future__ import annotations
@@ -74,6 +74,17 @@ def ieee_log2(a: Column) -> Column:
     return F.when(a == 0, F.lit(float("-inf"))).when(a < 0, F.lit(float("nan"))).otherwise(F.log2(F.when(a > 0, a)))
 
 
+def round_scaled(a: Column, digits: int) -> Column:
+    """ROUND by scaling: a * 10^digits to the nearest integer, halves away from zero, then back; a itself where that
+    overflows. Spark rounds the shortest decimal instead and drops the sign of zero. `a` should be a column, as it is
+    read several times."""
+    scale = F.lit(10.0**digits)
+    scaled = a * scale
+    even = F.rint(scaled)
+    away = F.when((F.abs(scaled - even) == 0.5) & (F.abs(even) < F.abs(scaled)), even + F.signum(scaled)).otherwise(even)
+    return F.when(F.abs(scaled) == float("inf"), a).otherwise(away / scale)
+
+
 def _strict(columns: tuple[Column, ...], value: Column) -> Column:
     return F.when(reduce(lambda x, y: x & y, (c.isNotNull() for c in columns)), value)
 

@@ -124,7 +124,10 @@ TRANSCENDENTAL = {
 
 @query("calc_transcendental", f"SELECT event_id, {', '.join(f'ROUND({e}, 9) AS {n}' for n, e in TRANSCENDENTAL.items())} FROM events", True)
 def calc_transcendental(spark: SparkSession, sf: str) -> DataFrame:
-    return R.calc(load(spark, sf, "events"), {"event_id": "event_id", **{n: f"ROUND({e}, 9)" for n, e in TRANSCENDENTAL.items()}})
+    # logarithms are IEEE's there: -Infinity at zero, NaN below
+    ieee = {"l": S.ieee_ln(F.expr(X)), "l2": S.ieee_log2(F.expr(X))}
+    raw = R.calc(load(spark, sf, "events"), {"event_id": "event_id", **TRANSCENDENTAL, **ieee})
+    return R.calc(raw, {"event_id": "event_id", **{n: S.round_scaled(F.col(n), 9) for n in TRANSCENDENTAL}})
 
 
 TRUTH = "SELECT a, b, (a > CAST(0.5 AS DOUBLE)) AND (b > CAST(0.5 AS DOUBLE)) AS both, (a > CAST(0.5 AS DOUBLE)) OR (b > CAST(0.5 AS DOUBLE)) AS any, NOT (a > CAST(0.5 AS DOUBLE)) AS no FROM "

@@ -31,6 +31,20 @@ def test_equals_sql(spark, duck, name):
     assert rows(got) == rows(expected)
 
 
+def test_transcendental_outside_domains(spark, duck, tmp_path):
+    # logarithms of zero and below, arcs beyond one, halves of the ninth digit; null and NaN are told apart
+    odd = [0.0, -0.0, -1.0, 500.0, 500.01, -500.01, 560.21, 1e-320, 5e-324, 2.5e-7, 7.5e-7, -7.5e-7, 785.398163, 1e308, math.nan, math.inf, -math.inf, None]
+    spark.createDataFrame(list(enumerate(odd)), "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    query = CATALOGUE["calc_transcendental"]
+    names = [n for n in query.run(spark, str(tmp_path)).columns if n != "event_id"]
+    text = ", ".join(f"CAST({n} AS VARCHAR) AS {n}" for n in names)  # a frame of doubles would hold NaN for both
+    expected = duck(f"SELECT {text} FROM ({query.sql}) t ORDER BY event_id", str(tmp_path)).astype(object)
+    got = query.run(spark, str(tmp_path)).orderBy("event_id").collect()
+    exact = lambda x: "null" if x is None or x is pd.NA else repr(float(x) + 0.0)
+    for n in names:
+        assert [exact(r[n]) for r in got] == [exact(None if pd.isna(x) else x) for x in expected[n]], n
+
+
 def test_note(spark):
     note = CATALOGUE["triage_note"].run(spark, SF).collect()
     assert len(note) == 1 and note[0].note.startswith("Inspect first: machine ")

@@ -101,3 +101,12 @@ def test_normal_cdf(spark):
     for r in frame.select("x", F.expr(E.normal_cdf("x")).alias("n")).collect():
         assert abs(r.n - 0.5 * math.erfc(-r.x / math.sqrt(2))) < 7.5e-8
     assert E.shocks(1) == [1.0] and E.shocks(2) == [1.0, 0.5] and E.shocks(5)[-1] == 2.0 and E.shocks(5)[1] == 0.5
+
+
+def test_round_scaled(spark):
+    values = {0.5: 1.0, -0.5: -1.0, 1.5: 2.0, 2.5: 3.0, -2.5: -3.0, 0.49999999999999994: 0.0, -0.3: -0.0, 4503599627370495.5: 4503599627370496.0, 9007199254740991.0: 9007199254740991.0, INF: INF, -INF: -INF}
+    frame = spark.createDataFrame([(x, y) for x, y in values.items()] + [(NAN, NAN), (None, None)], "x double, y double")
+    assert all(same(r.r, r.y) for r in frame.select("y", S.round_scaled(F.col("x"), 0).alias("r")).collect())
+    # scaling by 10^9 overflows, or gives 1000000001.4999999
+    ends = spark.createDataFrame([(1e308,), (-1e308,), (1.0000000015,)], "x double").select(S.round_scaled(F.col("x"), 9).alias("r")).collect()
+    assert [r.r for r in ends] == [1e308, -1e308, 1.000000001]
